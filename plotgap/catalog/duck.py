@@ -4,8 +4,9 @@ PI = "pi()"
 
 
 def hav(lat1, lon1, lat2, lon2):
-    return (f"(2*6371008.8e0*asin(least(1e0, sqrt(pow(sin((radians({lat2})-radians({lat1}))/2),2)"
-            f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians(({lon2})-({lon1}))/2),2)))))")
+    a = (f"(pow(sin((radians({lat2})-radians({lat1}))/2),2)"
+         f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians(({lon2})-({lon1}))/2),2))")
+    return f"(2*6371008.8e0*asin(sqrt({a})))"
 
 
 def bearing(lat1, lon1, lat2, lon2):

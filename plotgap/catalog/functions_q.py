@@ -180,7 +180,7 @@ def buffer_box(t):
 
 def _meet_sql():
     def o(a, b, c):
-        return f"sign(({b[0]}-{a[0]})*({c[1]}-{a[1]})-({b[1]}-{a[1]})*({c[0]}-{a[0]}))"
+        return f"sign((({b[0]})-({a[0]}))*(({c[1]})-({a[1]}))-(({b[1]})-({a[1]}))*(({c[0]})-({a[0]})))"
     p, q, r, s = ("x0", "y0"), ("x1", "y1"), ("-75.0e0", "36.9e0"), ("-74.6e0", "37.5e0")
     return f"({o(p, q, r)}<>{o(p, q, s)} AND {o(r, s, p)}<>{o(r, s, q)})"
 

@@ -138,7 +138,7 @@ def _ledger(s: Dialect) -> str:
       {s.div('raw_us', 86400000000)} AS cycle,
       CASE event_type WHEN 'error' THEN 'http_error' WHEN 'click' THEN 'version_unknown' ELSE 'ok' END AS outcome,
       event_type <> 'error' AS returned,
-      CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE CAST(value AS bigint) % 50 END AS n_events,
+      CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE CAST(floor(value) AS bigint) % 50 END AS n_events,
       CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '4' ELSE '4.1' END AS version_declared,
       CASE WHEN user_id % 12 = 5 THEN NULL WHEN user_id % 2 = 0 THEN '4.1' ELSE '4.0' END AS version_registry,
       CASE WHEN event_type = 'error' THEN NULL

@@ -38,8 +38,8 @@ def band_join(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], righ
     exceed the last tier. Column names must differ apart from ``equal``. The
     caller adds the exact distance predicate.
     """
-    tier = F.lit(len(tiers_m) - 1)
-    for i in reversed(range(len(tiers_m) - 1)):
+    tier = F.raise_error(F.lit(f"reach over the widest tier of {tiers_m[-1]} m")).cast("int")
+    for i in reversed(range(len(tiers_m))):
         tier = F.when(reach <= F.lit(float(tiers_m[i])), F.lit(i)).otherwise(tier)
     sizes = F.array(*[F.lit(float(t)) for t in tiers_m])
     ry, rx = right_pos

@@ -54,20 +54,26 @@ def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
-            how: str, chunk: Column, inclusive: bool = True) -> DataFrame:
-    """Running ``sum`` or ``max`` of ``value`` along the order, seam-free across chunks."""
-    agg = {"sum": F.sum, "max": F.max}[how]
+            how: str, chunk: Column, inclusive: bool = True, backward: bool = False) -> DataFrame:
+    """Running ``sum``, ``max`` or ``min`` of ``value`` along the order, seam-free across chunks.
+
+    ``backward`` runs from the last row towards the first.
+    """
+    agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
     keyed = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    last = 0 if inclusive else -1
-    inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, last))
-    before = (Window.partitionBy(*keys).orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
+    steps = [F.col(o).desc() if backward else F.col(o).asc() for o in order]
+    along = F.col("_chunk").desc() if backward else F.col("_chunk").asc()
+    inside = (Window.partitionBy(*keys, "_chunk").orderBy(*steps)
+              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     totals = (keyed.groupBy(*keys, "_chunk").agg(agg("_v").alias("_total"))
               .withColumn("_before", agg("_total").over(before)).select(*keys, "_chunk", "_before"))
     joined = keyed.withColumn("_in", agg("_v").over(inside)).join(totals, [*keys, "_chunk"], "left")
     if how == "sum":
         joined = joined.withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0)))
     else:
-        joined = joined.withColumn(out, F.greatest("_in", "_before"))
+        first = (F.col("_in") >= F.col("_before")) if how == "max" else (F.col("_in") <= F.col("_before"))
+        joined = joined.withColumn(out, F.when(F.col("_before").isNull() | first, F.col("_in"))
+                                   .otherwise(F.col("_before")))
+        joined = joined.withColumn(out, F.coalesce(out, "_before"))
     return joined.drop("_chunk", "_v", "_in", "_before")
