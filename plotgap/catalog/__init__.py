@@ -12,6 +12,7 @@ from plotgap.fixtures import Fixture, duckdb_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SECTION: dict[str, str] = {}
 SECTIONS = ["functions_q", "tracks_q", "coverage_q", "matching_q", "statistics_q", "air_q", "land_q", "labels_q",
             "raster_q", "sources_q", "streaming_q"]
 
@@ -21,6 +22,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+        SECTION[name] = fn.__module__.rsplit('.', 1)[-1]
         QUERIES[name] = lambda spark, sf_dir: fn(Fixture(spark, sf_dir))
         if sql is not None:
             body = sql.strip()
