@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plotgap.catalog import duck as d
 from plotgap.catalog import query
 from plotgap.operators import boundary as S
+from plotgap.plans.reuse import pin
 from plotgap.plans.nearest import nearest_line as near_line
 
 SETS = ["L3", "L12", "L24", "L200", "any"]
@@ -73,8 +74,8 @@ def area(t):
 
 
 def table(t):
-    c = counts(t)
-    return S.observed_expected(c, S.expectation(c, area(t)))
+    c = pin(counts(t))
+    return S.observed_expected(c, S.expectation(c, pin(area(t))))
 
 
 @query("band_counts", f"WITH {BC} SELECT lim AS \"limit\", matched, day, band, n FROM bc")

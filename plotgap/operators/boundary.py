@@ -16,6 +16,7 @@ from plotgap.functions import classes as K
 from plotgap.functions.geo import cell_index, searched_cell_km2
 from plotgap.plans.nearest import nearest_line
 from plotgap.plans.ranks import uniform
+from plotgap.plans.reuse import pin
 from plotgap.plans.sequence import running
 
 POOLED = "any"
@@ -131,7 +132,8 @@ def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str, p
     area shares; a pass with more than ``point_limit`` throws draws its band counts at
     once from the same multinomial law, so the work never exceeds trials x bands.
     """
-    exp = expectation(counts, area)
+    counts, area = pin(counts), pin(area)
+    exp = pin(expectation(counts, area))
     stat = chi_square(observed_expected(counts, exp), ["limit", "matched"])
     n = counts.groupBy("limit", "matched", "day").agg(F.sum("n").alias("n_pass"))
     total = area.groupBy("limit", "day").agg(F.sum("km2").alias("km2_pass")).where("km2_pass > 0")
@@ -178,10 +180,11 @@ def shift_null(points: DataFrame, counts: DataFrame, area: DataFrame, water: Dat
     A slide is kept when enough of the pattern stays in that pass's searched water; each pass
     takes its first kept attempt. Counts are rescaled to the observed total.
     """
-    exp = expectation(counts, area)
+    counts, area, water = pin(counts), pin(area), pin(water)
+    exp = pin(expectation(counts, area))
     stat = chi_square(observed_expected(counts, exp), ["limit", "matched"])
-    pts = points.groupBy("matched", "day", cell_index("lon", KEY_DEG).alias("kx"), cell_index("lat", KEY_DEG).alias("ky")).agg(
-        F.count(F.lit(1)).alias("n"))
+    pts = pin(points.groupBy("matched", "day", cell_index("lon", KEY_DEG).alias("kx"), cell_index("lat", KEY_DEG).alias("ky"))
+              .agg(F.count(F.lit(1)).alias("n")))
     size = pts.groupBy("matched", "day").agg(F.sum("n").alias("n_pass"))
     span = int(round(2 * max_shift_deg / KEY_DEG)) + 1
     draws = (size.select("matched", "day", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
@@ -197,12 +200,12 @@ def shift_null(points: DataFrame, counts: DataFrame, area: DataFrame, water: Dat
     inside = moved.join(wet, ["day", "kx", "ky"])
     kept = inside.groupBy("matched", "day", "dx", "dy").agg(F.sum("n").alias("n_in")).join(size, ["matched", "day"]).where(
         F.col("n_in") >= keep_share * F.col("n_pass"))
-    chosen = draws.join(kept.select("matched", "day", "dx", "dy"), ["matched", "day", "dx", "dy"]).groupBy("matched", "day", "trial").agg(
-        F.min_by(F.struct("dx", "dy"), "attempt").alias("s")).select("matched", "day", "trial", "s.*")
+    chosen = pin(draws.join(kept.select("matched", "day", "dx", "dy"), ["matched", "day", "dx", "dy"]).groupBy("matched", "day", "trial").agg(
+        F.min_by(F.struct("dx", "dy"), "attempt").alias("s")).select("matched", "day", "trial", "s.*"))
     used = chosen.select("matched", "day", "dx", "dy").distinct()
     hist = (moved.join(used, ["matched", "day", "dx", "dy"], "left_semi").join(water, ["day", "kx", "ky"])
             .groupBy("matched", "day", "dx", "dy", "limit", "band").agg(F.sum("n").alias("n")))
-    sim = chosen.join(hist, ["matched", "day", "dx", "dy"]).groupBy("limit", "matched", "trial", "band").agg(F.sum("n").alias("sim"))
+    sim = pin(chosen.join(hist, ["matched", "day", "dx", "dy"]).groupBy("limit", "matched", "trial", "band").agg(F.sum("n").alias("sim")))
     n_sim = sim.groupBy("limit", "matched", "trial").agg(F.sum("sim").alias("n_sim"))
     frame = exp.join(n_sim, ["limit", "matched"]).join(sim, ["limit", "matched", "trial", "band"], "left").fillna(0, ["sim"])
     n_obs = exp.groupBy("limit", "matched").agg(F.sum("expected").alias("n_obs"))
@@ -232,6 +235,7 @@ def limit_report(points: DataFrame, searched: DataFrame, segments: DataFrame, se
     water = water_keys(searched, segments, sets, companions, cell_deg)
     if near_nm is not None:
         counts, area, water = (local_step(x, near_nm) for x in (counts, area, water))
+    counts, area, water = pin(counts), pin(area), pin(water)
     scattered = scattered_null(counts, area, trials, seed).select(
         "limit", "matched", "chi2", F.col("k").alias("k_scattered"), F.col("p").alias("p_scattered"))
     shifted = shift_null(points, counts, area, water, shift_trials, seed, attempts).select(
