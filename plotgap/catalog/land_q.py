@@ -78,10 +78,10 @@ AN = f"""{CELLS}, ok AS (SELECT *, weekday<5 AS workday FROM cl WHERE n_pairs>=5
  an AS (SELECT ok.*, base, median_mps/base AS ratio FROM ok JOIN bs USING (cell_row, cell_col, local_hour, workday) WHERE nd>=5 AND base>0 AND median_mps<0.6e0*base)"""
 
 
-@query("slow_anomalies", f"WITH {AN} SELECT cell_row, cell_col, local_date, local_hour, round(base, 6) AS baseline_mps, round(ratio, 6) AS ratio FROM an")
+@query("slow_anomalies", f"WITH {AN} SELECT cell_row, cell_col, local_date, local_hour, round(base, 9) AS baseline_mps, round(ratio, 9) AS ratio FROM an")
 def slow_anomalies(t):
     a = L.slow_anomalies(day_cells(t), 0.6, 5, 2, 5)
-    return a.select("cell_row", "cell_col", "local_date", "local_hour", F.round("baseline_mps", 6).alias("baseline_mps"), F.round("ratio", 6).alias("ratio"))
+    return a.select("cell_row", "cell_col", "local_date", "local_hour", F.round("baseline_mps", 9).alias("baseline_mps"), F.round("ratio", 9).alias("ratio"))
 
 
 PL = """po AS (SELECT *, arrival//400 AS poll_no, floor(lat*50)/50 AS la, floor(lon*50)/50 AS lo, vehicle_ts//600 AS vt FROM fixes QUALIFY row_number() OVER (PARTITION BY feed_id, vehicle_key, arrival//400 ORDER BY arrival DESC)=1),
@@ -207,10 +207,10 @@ def ring_segments(t):
     return L.boundary_segments(t.e.select(F.expr("event_id div 8").alias("ring"), F.col("event_id").alias("i"), "lon", "lat"))
 
 
-@query("boundary_segment_detail", f"WITH {RING} SELECT ring, i, round(length_m, 3) AS length_m, round(ta, 4) AS turn_a_deg, round(tb, 4) AS turn_b_deg, round(dev, 3) AS deviation_m FROM sd")
+@query("boundary_segment_detail", f"WITH {RING} SELECT ring, i, round(length_m, 3) AS length_m, round(ta, 4) AS turn_a_deg, round(tb, 4) AS turn_b_deg, round(dev, 0) AS deviation_m FROM sd")
 def boundary_segment_detail(t):
     return ring_segments(t).withColumns({"length_m": F.round("length_m", 3), "turn_a_deg": F.round("turn_a_deg", 4), "turn_b_deg": F.round("turn_b_deg", 4),
-                                         "deviation_m": F.round("deviation_m", 3)})
+                                         "deviation_m": F.round("deviation_m", 0)})
 
 
 def _nr(p):
@@ -263,9 +263,10 @@ def cycle_summary(t):
     return K.cycle_summary(t.ledger)
 
 
-@query("blind_feeds", "SELECT feed, n_attempted FROM (SELECT feed || '/' || cycle AS feed, count(*) AS n_attempted, count(*) FILTER (WHERE returned) AS r FROM ledger GROUP BY 1) WHERE r<=0")
+@query("blind_feeds", "SELECT feed, n_attempted FROM (SELECT l.feed || '/' || l.cycle || '/' || e.user_id AS feed, count(*) AS n_attempted, count(*) FILTER (WHERE returned) AS r FROM ledger l JOIN e USING (event_id) GROUP BY 1) WHERE r<=0")
 def blind_feeds(t):
-    return K.blind_feeds(t.ledger.withColumn("feed", F.concat_ws("/", "feed", "cycle")))
+    per_user = t.ledger.join(t.e.select("event_id", "user_id"), "event_id")
+    return K.blind_feeds(per_user.withColumn("feed", F.concat_ws("/", "feed", "cycle", "user_id")))
 
 
 @query("decorative_feeds", f"WITH {CG} SELECT feed, n_envelope FROM (SELECT feed, count(*) FILTER (WHERE change='envelope only') AS n_envelope, count(*) FILTER (WHERE change='content changed') AS n_real FROM cg GROUP BY 1) WHERE n_envelope>=3 AND n_real=0")
