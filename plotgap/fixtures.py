@@ -161,12 +161,12 @@ def _verdicts(s: Dialect) -> str:
 
 
 def _pixels(s: Dialect) -> str:
-    scene, row, c = s.div("event_id", 4096), s.div("event_id % 4096", 64), "event_id % 64"
+    scene, row, c = s.div("event_id", 2000), s.div("event_id % 2000", 50), "event_id % 50"
     return f"""SELECT {scene} AS scene, {row} AS row, {c} AS col,
       CAST(50 + {s.hash8('event_id')} % 20 +
         CASE WHEN {row} % 16 IN (7, 8) AND {c} % 16 IN (7, 8) AND {s.hash8(s.div('event_id', 1024))} % 3 > 0
              THEN 400 ELSE 0 END AS double) AS dn,
-      {s.div('event_id % 4096', 64)} >= 2 AS valid
+      {row} >= 2 AS valid
       FROM e"""
 
 

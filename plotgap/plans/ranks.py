@@ -42,6 +42,20 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, positions: dict
     return ranked.groupBy(*keys).agg(F.max("total").alias("n"), *picks)
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted: dict[str, float], width: float) -> DataFrame:
+    """Linear-interpolated percentiles, from the two order statistics around each position."""
+    picks = {}
+    for name, p in wanted.items():
+        at = F.lit(p) * (F.col("total") - 1)
+        picks[f"{name}_lo"], picks[f"{name}_hi"] = F.floor(at), F.ceil(at)
+    got = quantiles(df, keys, value, picks, width)
+    for name, p in wanted.items():
+        at = F.lit(p) * (F.col("n") - 1)
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        got = got.withColumn(name, lo + (hi - lo) * (at - F.floor(at))).drop(f"{name}_lo", f"{name}_hi")
+    return got
+
+
 def median(df: DataFrame, keys: Sequence[str], value: Column, out: str, width: float) -> DataFrame:
     """Exact median (mean of the two middle values when the count is even)."""
     lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
