@@ -9,7 +9,7 @@ from plotgap.functions import classes as K
 from plotgap.functions import geo as G
 
 A, B = ("lat", "lon"), ("37.5e0", "-75.2e0")
-REF_LAT, REF_LON = F.lit(37.5), F.lit(-75.2)
+REF_LAT, REF_LON = 37.5, -75.2
 
 
 @query("haversine_m", f"SELECT event_id, round({d.hav(*A, *B)}, 3) AS d_m FROM e")
