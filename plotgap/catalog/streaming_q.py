@@ -37,7 +37,7 @@ def messages(t):
 
 
 MSG = """ms AS (SELECT CAST(user_id AS VARCHAR) AS mmsi, event_id AS seq, t_us//1000000 AS t_s, event_type='signup' AS st, event_id%43<>0 AND event_type<>'signup' AS pos, event_type='signup' AND event_id%8<>0 AS said, lat, lon, CAST(event_id%30 AS DOUBLE) AS sog, CAST(event_id%400 AS DOUBLE) AS cog,
-  CASE WHEN event_type='signup' AND event_id%3=0 THEN 'V' || event_id END AS name, CAST(event_id%100 AS INTEGER) AS ty, event_id%4*20e0+event_id%5*10e0 AS len FROM e WHERE event_id%71<>0),
+  CASE WHEN event_type='signup' AND event_id%3=0 THEN 'V' || event_id END AS name, CAST(event_id%100 AS INTEGER) AS ty, event_id%4*20e0+event_id%5*10e0 AS len FROM e WHERE event_id%71<>0 AND user_id<>0),
  fo AS (SELECT mmsi, arg_max(lat, seq) FILTER (WHERE pos) AS lat, arg_max(lon, seq) FILTER (WHERE pos) AS lon, arg_max(t_s, seq) FILTER (WHERE pos) AS t_s, arg_max(sog, seq) FILTER (WHERE pos AND seq%9<>0) AS sog_kn, arg_max(cog, seq) FILTER (WHERE pos AND cog<360) AS cog_deg,
   arg_max(name, seq) FILTER (WHERE (said OR pos) AND name IS NOT NULL) AS name, arg_max(ty, seq) FILTER (WHERE said AND ty<>0) AS ship_type, arg_max(len, seq) FILTER (WHERE said AND len>0) AS length_m, count(*) FILTER (WHERE pos) AS n_positions, min(t_s) AS first_s FROM ms GROUP BY 1)"""
 
