@@ -16,7 +16,7 @@ from plotgap.functions import classes as K
 from plotgap.functions.geo import cell_index, searched_cell_km2
 from plotgap.plans.nearest import nearest_line
 from plotgap.plans.ranks import uniform
-from plotgap.plans.reuse import pin
+from plotgap.plans.reuse import pin, spread
 from plotgap.plans.sequence import running
 
 POOLED = "any"
@@ -125,7 +125,7 @@ def _draw_multinomial(batches: Iterator[pd.DataFrame], seed: str) -> Iterator[pd
         yield pd.DataFrame(out, columns=["limit", "matched", "trial", "band", "n"])
 
 
-def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str, point_limit: int = 5_000_000) -> DataFrame:
+def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str, point_limit: int = 1_000_000) -> DataFrame:
     """p of the band chi-square when each pass's points are re-thrown into its own searched water.
 
     A pass with few points throws each of them by a hash uniform through the cumulative
@@ -142,18 +142,20 @@ def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str, p
     upto = running(area, ["limit", "day"], ["band"], F.col("km2"), "upto", "sum", F.lit(0).cast("bigint"))
     cdf = upto.join(total, ["limit", "day"]).groupBy("limit", "day").agg(
         F.array_sort(F.collect_list(F.struct("upto", "band"))).alias("cdf"), F.max("upto").alias("top"))
-    throws = (passes.where(few).join(cdf, ["limit", "day"])
-              .select("limit", "matched", "day", "cdf", "top", "n_pass", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
+    throws = passes.where(few).join(cdf, ["limit", "day"]).select(
+        "limit", "matched", "day", "cdf", "top", "n_pass", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
+    throws = (spread(throws, "limit", "matched", "day", "trial")
               .select("limit", "matched", "day", "cdf", "top", "trial", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_pass"))).alias("i")))
     mark = uniform(seed, "limit", "matched", "day", "trial", "i") * F.col("top")
     landed = throws.withColumn("_u", mark).select(
         "limit", "matched", "trial", F.filter("cdf", lambda c: c["upto"] > F.col("_u"))[0]["band"].alias("band"))
     thrown = landed.groupBy("limit", "matched", "trial", "band").agg(F.count(F.lit(1)).alias("n"))
     shares = area.groupBy("limit", "day").agg(F.sort_array(F.collect_list(F.struct("band", "km2"))).alias("s"))
-    big = (passes.where(~few).join(shares, ["limit", "day"])
-           .select("limit", "matched", "day", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"), "n_pass",
-                   F.transform("s", lambda x: x["band"]).alias("bands"), F.transform("s", lambda x: x["km2"]).alias("shares"))
-           .mapInPandas(lambda it: _draw_multinomial(it, seed), "limit string, matched boolean, trial int, band string, n bigint"))
+    draws = passes.where(~few).join(shares, ["limit", "day"]).select(
+        "limit", "matched", "day", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"), "n_pass",
+        F.transform("s", lambda x: x["band"]).alias("bands"), F.transform("s", lambda x: x["km2"]).alias("shares"))
+    big = spread(draws, "limit", "matched", "day", "trial").mapInPandas(
+        lambda it: _draw_multinomial(it, seed), "limit string, matched boolean, trial int, band string, n bigint")
     sim = thrown.unionByName(big).groupBy("limit", "matched", "trial", "band").agg(F.sum("n").alias("sim"))
     frame = exp.select("limit", "matched", "band", "expected", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
     filled = frame.join(sim, ["limit", "matched", "trial", "band"], "left").fillna(0, ["sim"])

@@ -1,37 +1,46 @@
-"""Interval joins on time buckets."""
+"""Interval joins on time buckets.
+
+The interval side is short (scenes, uptime spans); it is repeated over a fixed number of
+salts, so rows of one busy bucket spread over that many tasks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 16
+
+
+def _bucket(c: str, width) -> Column:
+    return F.floor(F.col(c) / width).cast("bigint")
+
+
+def _salted(rows: DataFrame, spans: DataFrame, t: str) -> tuple[DataFrame, DataFrame]:
+    salt = F.pmod(F.xxhash64(t), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_s", salt), spans.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
 
-def around_instants(rows: DataFrame, instants: DataFrame, t: str, at: str, half_us: int,
-                    equal: Sequence[str] = ()) -> DataFrame:
+def around_instants(rows: DataFrame, instants: DataFrame, t: str, at: str, half_us: int, equal: Sequence[str] = ()) -> DataFrame:
     """Rows within +/- ``half_us`` of each instant, by an equi-join on buckets of that width."""
     width = F.lit(half_us)
-    bucketed = rows.withColumn("_b", F.floor(F.col(t) / width).cast("bigint"))
-    base = F.floor(F.col(at) / width).cast("bigint")
-    spread = instants.withColumn("_b", F.explode(F.sequence(base - 1, base + 1)))
-    return (bucketed.join(spread, [*equal, "_b"])
-            .where(F.abs(F.col(t) - F.col(at)) <= width).drop("_b"))
+    base = _bucket(at, width)
+    left, right = _salted(rows.withColumn("_b", _bucket(t, width)), instants.withColumn("_b", F.explode(F.sequence(base - 1, base + 1))), t)
+    return left.join(right, [*equal, "_b", "_s"]).where(F.abs(F.col(t) - F.col(at)) <= width).drop("_b", "_s")
 
 
-def containing(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, width: int,
-               equal: Sequence[str] = (), how: str = "inner") -> DataFrame:
+def containing(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, width: int, equal: Sequence[str] = (),
+               how: str = "inner") -> DataFrame:
     """Join each point to the spans [lo, hi] that contain it, on buckets of ``width``."""
-    bucketed = points.withColumn("_b", F.floor(F.col(t) / F.lit(width)).cast("bigint"))
-    cut = spans.withColumn("_b", F.explode(F.sequence(
-        F.floor(F.col(lo) / F.lit(width)).cast("bigint"), F.floor(F.col(hi) / F.lit(width)).cast("bigint"))))
-    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*equal, "_b"]]
+    left, right = _salted(points.withColumn("_b", _bucket(t, F.lit(width))),
+                          spans.withColumn("_b", F.explode(F.sequence(_bucket(lo, F.lit(width)), _bucket(hi, F.lit(width))))), t)
     cond = (F.col(f"p.{t}") >= F.col(f"s.{lo}")) & (F.col(f"p.{t}") <= F.col(f"s.{hi}"))
-    for c in on:
-        cond = cond & c
-    joined = bucketed.alias("p").join(cut.alias("s"), cond, how)
+    for k in [*equal, "_b", "_s"]:
+        cond = cond & (F.col(f"p.{k}") == F.col(f"s.{k}"))
+    joined = left.alias("p").join(right.alias("s"), cond, how)
     if how in ("left_semi", "left_anti"):
-        return joined.drop("_b")
-    keep = [F.col(f"p.{c}") for c in points.columns] + [
-        F.col(f"s.{c}") for c in spans.columns if c not in equal and c not in points.columns]
-    return joined.select(*keep)
+        return joined.drop("_b", "_s")
+    return joined.select(*[F.col(f"p.{c}") for c in points.columns],
+                         *[F.col(f"s.{c}") for c in spans.columns if c not in equal and c not in points.columns])

@@ -19,3 +19,12 @@ def pin(df: DataFrame) -> DataFrame:
     out = df.checkpoint()
     out._plotgap_pinned = True
     return out
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal a small table over all shuffle partitions before it is expanded row by row.
+
+    A stated number of partitions is not coalesced at run time, so the expansion that
+    follows runs everywhere instead of in the one task that held the small table.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
