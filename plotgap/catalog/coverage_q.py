@@ -18,14 +18,14 @@ def grid_sql(src="reports", key=""):
     return f"(SELECT *, {d.reception('n_vessels', 'n_gaps', 'median_gap_s')} AS reception FROM ({body}))"
 
 
-# three kinds of listening: one platform per cell, many sparse ones, and four that are always on
-LISTEN = """(SELECT r.*EXCLUDE(platform_id), CASE WHEN e.pid%3=0 THEN 'P' || e.pid WHEN e.pid%3=1 THEN 'U' || e.user_id ELSE chr(65+CAST(e.event_id%4 AS INTEGER)) END AS platform_id FROM reports r JOIN e USING(event_id))"""
+# three kinds of listening: one platform per cell, many sparse ones, and three that are always on
+LISTEN = """(SELECT r.*EXCLUDE(platform_id), CASE WHEN e.pid%6=0 THEN 'P' || e.pid WHEN e.pid%6=3 THEN 'U' || e.user_id ELSE chr(65+CAST(e.event_id%3 AS INTEGER)) END AS platform_id FROM reports r JOIN e USING(event_id))"""
 
 
 def listen(t):
-    ids = (F.when(F.col("pid") % 3 == 0, F.concat(F.lit("P"), F.col("pid").cast("string")))
-           .when(F.col("pid") % 3 == 1, F.concat(F.lit("U"), F.col("user_id").cast("string")))
-           .otherwise(F.expr("char(65 + event_id % 4)")))
+    ids = (F.when(F.col("pid") % 6 == 0, F.concat(F.lit("P"), F.col("pid").cast("string")))
+           .when(F.col("pid") % 6 == 3, F.concat(F.lit("U"), F.col("user_id").cast("string")))
+           .otherwise(F.expr("char(65 + event_id % 3)")))
     return t.e.where("event_type <> 'error'").select("event_id", "t_us", "lat", "lon", ids.alias("platform_id"))
 
 
