@@ -12,6 +12,7 @@ from plotgap.functions import classes as K
 from plotgap.functions.geo import cell_area_km2, cell_index, searched_cell_km2
 from plotgap.plans.intervals import around_instants
 from plotgap.plans.ranks import index_rank, median, quantiles
+from plotgap.plans.reuse import pin
 from plotgap.plans.sequence import HOUR_US, chunk_of, with_previous
 
 US = 1_000_000
@@ -51,6 +52,7 @@ def neighbourhood(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def classify_cells(cells: DataFrame, grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Reception of each asked cell: its own evidence first, else its neighbours'."""
     on = [*keys, "col", "row"]
+    grid = pin(grid)  # read for its own class and again for its neighbours
     own = grid.select(*on, F.col("reception").alias("_own"), F.col("n_vessels").alias("_n"))
     near = neighbourhood(grid, keys)
     return (cells.join(own, on, "left").join(near, on, "left")
@@ -88,7 +90,7 @@ def compare_reception(a: DataFrame, b: DataFrame, cell_deg: float = C.RECEPTION_
     def side(g, s):
         return g.select("col", "row", *[F.col(c).alias(f"{c}_{s}") for c in
                                         ("reception", "median_gap_s", "p_long", "n_vessels")])
-    both = side(a, "a").join(side(b, "b"), ["col", "row"], "full_outer")
+    both = pin(side(a, "a").join(side(b, "b"), ["col", "row"], "full_outer"))
     common = both.where(F.col("reception_a").isNotNull() & F.col("reception_b").isNotNull())
     confusion = common.groupBy("reception_a", "reception_b").agg(F.count(F.lit(1)).alias("n"))
     area = cell_area_km2("row", cell_deg)
