@@ -222,10 +222,10 @@ def ranking_bias(t):
     return rounded(rounded(x, "near", "mid", "far"), "pearson", n=6)
 
 
-@query("dossier_listing", f"""WITH {DOS} SELECT obs_id, round(strength, 6) AS strength, (SELECT count(*) FROM ds WHERE round(strength, 9)>=0.1e0 AND reception IN ('heard')) AS n_hits FROM ds WHERE round(strength, 9)>=0.1e0 AND reception IN ('heard') ORDER BY round(ds.strength, 9) DESC, obs_id LIMIT 50 OFFSET 50""")
+@query("dossier_listing", f"""WITH {DOS} SELECT obs_id, round(strength, 9) AS strength, (SELECT count(*) FROM ds WHERE round(strength, 9)>=0.1e0 AND reception IN ('heard')) AS n_hits FROM ds WHERE round(strength, 9)>=0.1e0 AND reception IN ('heard') ORDER BY round(ds.strength, 9) DESC, obs_id LIMIT 50 OFFSET 50""")
 def dossier_listing(t):
     x = Z.dossier_listing(rounded(dossiers(t), "strength"), 0.1, ["heard"], 50, 50)
-    return rounded(x.select("obs_id", "strength", "n_hits"), "strength", n=6)
+    return x.select("obs_id", "strength", "n_hits")
 
 
 @query("dossier_facets", f"WITH {CD} SELECT 'band' AS facet, band AS value, count(*) AS n FROM cd GROUP BY 2 UNION ALL SELECT 'reception', reception, count(*) FROM cd GROUP BY 2")
