@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotgap.llm import packing
+from plotgap.llm import mixing, packing, topk
 from plotgap.llm.base import table
 
 
+MIX = {"target_entropy": 0.9, "max_repeats": 2.0}
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -19,7 +22,68 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
+
+ORACLE["op6_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+_KEYED = "CAST('0x' || substr(md5(concat_ws('|', 'mix', {})), 1, 15) AS BIGINT)"
+
+ORACLE["op7_temperature_mixing"] = f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k,
+         CAST(sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS BIGINT) AS n
+  FROM documents GROUP BY ALL),
+s AS (SELECT k, CAST(sum(n) AS BIGINT) AS t FROM c GROUP BY k),
+l AS (SELECT list(CAST(t AS DOUBLE) / total ORDER BY k) AS shares, list(CAST(t AS DOUBLE) ORDER BY k) AS ts
+      FROM s, (SELECT sum(t) AS total FROM s) WHERE t > 0),
+h AS (  -- entropy and repeats as functions of the exponent are written out at each use
+  SELECT 0 AS i, 0e0 AS lo, 1e0 AS hi, 0e0 AS rlo, 1e0 AS rhi
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN eg THEN (lo + hi) / 2 ELSE lo END, CASE WHEN eg THEN hi ELSE (lo + hi) / 2 END,
+    CASE WHEN rg THEN (rlo + rhi) / 2 ELSE rlo END, CASE WHEN rg THEN rhi ELSE (rlo + rhi) / 2 END
+  FROM (SELECT h.*,
+      list_sum(list_transform(shares, lambda x: -(pow(x, (lo + hi) / 2) / list_sum(list_transform(shares, lambda y: pow(y, (lo + hi) / 2))))
+        * ln(pow(x, (lo + hi) / 2) / list_sum(list_transform(shares, lambda y: pow(y, (lo + hi) / 2)))))) >= {MIX['target_entropy']} * ln(len(shares)) - 1e-12 AS eg,
+      pow(list_max(ts) / list_min(ts), 1 - (rlo + rhi) / 2) > {MIX['max_repeats']} AS rg
+    FROM h, l) WHERE i < 60),
+a AS (SELECT CASE WHEN list_sum(list_transform(shares, lambda x: -x * ln(x))) >= {MIX['target_entropy']} * ln(len(shares)) - 1e-12 THEN 1e0
+             WHEN pow(list_max(ts) / list_min(ts), 1 - lo) <= {MIX['max_repeats']} THEN lo ELSE rlo END AS a, shares
+      FROM h, l WHERE i = 60),
+w AS (SELECT k, t, pow(CAST(t AS DOUBLE) / (SELECT sum(t) FROM s), a) / list_sum(list_transform(shares, lambda y: pow(y, a))) AS w
+      FROM s, a WHERE t > 0),
+p AS (SELECT k, t, greatest(t, CAST(floor(w * (SELECT max(t / w) FROM w) + 0.5) AS BIGINT)) AS b FROM w
+      UNION ALL SELECT k, 0, 0 FROM s WHERE t = 0),
+f AS (SELECT k, t, b, CASE WHEN t > 0 THEN b // t ELSE 1 END AS whole FROM p),
+u AS (SELECT c.*, t, b, whole, epoch, {_KEYED.format("'deal', doc_id")} % greatest(CAST(ceil(t / 1048576e0) AS BIGINT), 1) AS block
+      FROM c JOIN f USING (k), range(100) r(epoch) WHERE epoch < whole + CASE WHEN b > whole * t THEN 1 ELSE 0 END),
+o AS (SELECT *, {_KEYED.format("'block', k, epoch, block")} AS kb, {_KEYED.format("'document', epoch, doc_id")} AS kd FROM u),
+z AS (SELECT *, epoch * t + coalesce(sum(n) OVER (PARTITION BY k, epoch ORDER BY kb, block, kd, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM o)
+SELECT doc_id, source, n AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS INTEGER) AS block, CAST(st AS BIGINT) AS start,
+       CASE WHEN b > 0 THEN st / CAST(b AS DOUBLE) ELSE 0e0 END AS position
+FROM z WHERE st + n <= b
+"""
