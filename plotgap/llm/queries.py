@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plotgap.llm import mixing, packing, topk
-from plotgap.llm.base import table
+from plotgap.llm import mixing, packing, topk, toxicity
+from plotgap.llm.base import crc_remainder, table
 
 
 MIX = {"target_entropy": 0.9, "max_repeats": 2.0}
@@ -18,6 +19,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Model:
+    learn = crc_remainder("doc_id", 5) != 0
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return toxicity.train(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("spans").alias("n_spans"),
+                         F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))).alias("offsets"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -34,6 +48,7 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_temperature_mixing": op7_temperature_mixing,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
