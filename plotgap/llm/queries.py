@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgap.llm import mixing, packing, topk, toxicity
+from plotgap.llm import jaccard, mixing, packing, topk, toxicity
 from plotgap.llm.base import crc_remainder, table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), threshold=0.75)
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Model:
     learn = crc_remainder("doc_id", 5) != 0
     docs = table(spark, sf_dir, "documents") if docs is None else docs
@@ -48,6 +52,7 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_temperature_mixing": op7_temperature_mixing,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
