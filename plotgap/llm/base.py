@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +54,45 @@ class Hashed(dict):
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as compressed Parquet: for tables with many small rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of each pair of hashes."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every window of ``length`` words, by doubling from single words."""
+    if len(words) < length:
+        return words[:0]
+    now, size = words, 1
+    while 2 * size <= length:
+        now, size = mixed(now[:-size], now[size:]), 2 * size
+    return mixed(now[:len(words) - length + 1], now[length - size:]) if size < length else now
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by doubling."""
+    now, size = values, 1
+    while 2 * size <= width:
+        now, size = np.minimum(now[:-size], now[size:]), 2 * size
+    return np.minimum(now[:len(values) - width + 1], now[width - size:]) if size < width else now

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgap.llm import jaccard, mixing, packing, topk, toxicity
+from plotgap.llm import jaccard, mixing, packing, substring, topk, toxicity
 from plotgap.llm.base import crc_remainder, table
 
 
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.kept_words(table(spark, sf_dir, "documents"), min_words=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.col("longest").alias("longest_removed"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), threshold=0.75)
 
@@ -52,6 +57,7 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_temperature_mixing": op7_temperature_mixing,
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
