@@ -210,19 +210,26 @@ def fit_document(x: np.ndarray, toxic: np.ndarray, penalty: float = 0.05) -> np.
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list:
-    """(text, toxic) of at most ``per_class`` documents of each label, by lowest hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``per_class`` documents of each label, by lowest hash of doc_id."""
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     mark = F.xxhash64("doc_id")
     chosen = [one.where(F.col("toxic") == y).orderBy(mark, "doc_id").limit(per_class) for y in (0, 1)]
     chosen = chosen[0].union(chosen[1])  # at most 2 * per_class rows of two numbers
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    return sorted(((r[0], r[1] or "", r[2]) for r in got), key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[1]))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
-    rows = sample(docs, labels, per_class)
-    return fit([r[1].encode("utf-8", "replace").split() for r in rows], np.array([r[2] for r in rows]))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
+    """The model, fitted in one task on the bounded sample; only its weights come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)))]
+        rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[1] or ""))
+        m = fit([(r[1] or "").encode("utf-8", "replace").split() for r in rows], np.array([r[2] for r in rows]))
+        packed = np.concatenate([[float(m.learned), m.start], m.step.ravel(), m.document, m.weights])
+        yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["model"])
+
+    v = np.frombuffer(sample(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").first()[0])
+    return Model(v[9:], float(v[1]), v[2:6].reshape(2, 2), v[6:9], bool(v[0]))
 
 
 class Emissions(dict):
