@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgap.llm import jaccard, mixing, packing, substring, topk, toxicity
+from plotgap.llm import jaccard, mixing, packing, ppm, substring, topk, toxicity
 from plotgap.llm.base import crc_remainder, table
 
 
@@ -54,7 +54,12 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
 
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 7) != 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_ppm_scoring": op10_ppm_scoring,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op1_substring_dedup": op1_substring_dedup,
