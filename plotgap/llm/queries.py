@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgap.llm import jaccard, mixing, packing, ppm, substring, topk, toxicity
+from plotgap.llm import jaccard, mixing, packing, ppm, quality, substring, topk, toxicity
 from plotgap.llm.base import crc_remainder, table
 
 
+QUALITY = {"alpha": 0.05, "delta": 0.1, "price": 5.0}
 MIX = {"target_entropy": 0.9, "max_repeats": 2.0}
 
 
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.col("longest").alias("longest_removed"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **QUALITY)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), threshold=0.75)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -118,3 +124,38 @@ SELECT doc_id, source, n AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(bloc
        CASE WHEN b > 0 THEN st / CAST(b AS DOUBLE) ELSE 0e0 END AS position
 FROM z WHERE st + n <= b
 """
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))"
+_GRID = ", ".join(f"('{rule}', {k}, {c}e0)" for rule, grid in quality.GRIDS.items() for k, c in enumerate(grid))
+
+ORACLE["op2_quality_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, text, {_WORDS} AS w, {_LINES} AS l FROM documents),
+g AS (SELECT id, i, list_aggregate(w[i:i + 4], 'string_agg', chr(10)) AS gram FROM d, unnest(range(1, len(w) - 3)) r(i) WHERE len(w) >= 5),
+c AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS n FROM g) WHERE n >= 2),
+r AS (SELECT id, count(DISTINCT i + k) AS n FROM c, range(5) r(k) GROUP BY id),
+b AS (SELECT d.id, doc_id, lang, len(w) AS n_words, length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        coalesce(r.n, 0) AS n_repeat_words, len(l) AS lines, length(regexp_replace(coalesce(text, ''), '[^A-Z!]', '', 'g')) AS loud
+      FROM d LEFT JOIN r USING (id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+v AS (SELECT id, lang, base_failed, doc_id, rule, value FROM (SELECT *, unnest([
+        {{'rule': 'symbols', 'value': n_symbols / greatest(n_words, 1)}}, {{'rule': 'dup_lines', 'value': n_dup_lines / greatest(lines, 1)}},
+        {{'rule': 'repeats', 'value': n_repeat_words / greatest(n_words, 1)}}, {{'rule': 'shouting', 'value': loud / greatest(word_chars, 1)}},
+        {{'rule': 'word_length', 'value': word_chars / greatest(n_words, 1)}}], recursive := true) FROM f)),
+q AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+grid(rule, k, cutoff) AS (VALUES {_GRID}),
+t AS (SELECT v.lang, v.rule, k, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND value > cutoff) AS x, count(*) FILTER (NOT good AND value > cutoff) AS bad
+      FROM v JOIN q USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY ALL),
+e AS (SELECT *, n > 0 AND (x < n AND list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+        + i * ln({QUALITY['alpha'] / len(quality.GRIDS)!r}) + (n - i) * ln(1 - {QUALITY['alpha'] / len(quality.GRIDS)!r}))))
+        <= {QUALITY['delta']!r} / ((SELECT count(DISTINCT coalesce(lang, '')) FROM t) * {len(quality.GRIDS)})) AS ok FROM t),
+s AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY k) AS passed, bad - {QUALITY['price']} * x AS gain FROM e),
+u AS (SELECT lang, rule, arg_max(cutoff, (gain, -k)) AS cutoff FROM s WHERE passed AND gain > 0 GROUP BY ALL),
+z AS (SELECT v.id, string_agg(v.rule, ',' ORDER BY list_position({list(quality.GRIDS)!r}, v.rule)) AS failed_rules
+      FROM v JOIN u ON v.rule = u.rule AND v.lang IS NOT DISTINCT FROM u.lang WHERE value > cutoff GROUP BY v.id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM f LEFT JOIN z USING (id)
+"""
