@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgap.llm import jaccard, mixing, packing, ppm, quality, substring, topk, toxicity
+from plotgap.llm import jaccard, mixing, packing, pii, ppm, quality, secret_scan, substring, topk, toxicity
 from plotgap.llm.base import crc_remainder, table
 
 
 QUALITY = {"alpha": 0.05, "delta": 0.1, "price": 5.0}
+PII_KEY = "pseudonyms of the registered query"
 MIX = {"target_entropy": 0.9, "max_repeats": 2.0}
 
 
@@ -59,11 +60,32 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def told(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    counts = [_count("spans", k) for k in secret_scan.KINDS[:3]]
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+    return done.select("doc_id", *[_count("pii", k) for k in pii.KINDS], "text")
+
+
 def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 7) != 2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_secret_scan": op8_secret_scan,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_ppm_scoring": op10_ppm_scoring,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_temperature_mixing": op7_temperature_mixing,
