@@ -13,8 +13,10 @@ shingles.
 * The boundary is where subset keys plus list entries are fewest, from counts by size.
 
 Only classes are wanted, so lists are not expanded into all pairs. Every member of a list is compared with two
-representatives of it (the members of lowest and highest hash); what is found links is contracted; only members of a list
-that still stand in different components are compared pair by pair, exactly. Comparisons intersect whole sets.
+representatives of it (the one with fewest rare shingles, and any other); what is found linked is contracted; only
+members of a list that still stand in different components are compared pair by pair, exactly. An entry is left out where
+too little of the set comes after it for any partner in the list, and a pair where the parities of shingle buckets show too
+many differences. Comparisons intersect whole sets.
 
 Defined results: null, empty and word-free text has an empty set, which links with nothing; fewer than five words
 are one shingle; repeated rows and equal sets are one class; an empty table gives an empty result; columns other than
@@ -30,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotgap.llm.base import Hashed, cut
@@ -40,6 +42,7 @@ N = 5
 MOST_LIGHT = 12
 ALL_BELOW = 96
 THIRD = (1 << 64) // 3
+BITS = 512
 
 
 def shingle_set(text: str, hashed: Hashed) -> np.ndarray:
@@ -63,11 +66,12 @@ def overlap_needed(n: int, m: int, threshold: float) -> int:
 
 
 def sized_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set, set2, small): set size, 128 hash bits of the set, and the shingles themselves if there are few."""
+    """(doc_id, n, set, set2, small, parity): set size, 128 hash bits of the set, the shingles themselves if there are few,
+    and for each of ``BITS`` buckets of shingles whether their number is odd."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
         for batch in batches:
-            n, a, b, small = [], [], [], []
+            n, a, b, small, parity = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py() or "", hashed)
                 d = xxhash.xxh3_128_digest(s.tobytes())
@@ -75,9 +79,12 @@ def sized_sets(docs: DataFrame) -> DataFrame:
                 a.append(int.from_bytes(d[:8], "little", signed=True))
                 b.append(int.from_bytes(d[8:], "little", signed=True))
                 small.append(s.view(np.int64).tolist() if 0 < len(s) <= MOST_LIGHT else None)
+                odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                              pa.array(small, pa.list_(pa.int64()))], names=["doc_id", "n", "set", "set2", "small"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set long, set2 long, small array<long>")
+                                              pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                                             names=["doc_id", "n", "set", "set2", "small", "parity"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set long, set2 long, small array<long>, parity array<long>")
 
 
 def counted_shingles(docs: DataFrame, slack: float) -> DataFrame:
@@ -119,7 +126,7 @@ def counted_shingles(docs: DataFrame, slack: float) -> DataFrame:
 
 
 def prefix_entries(tokens: DataFrame, slack: float) -> DataFrame:
-    """(key, set, n, df): list entries of every set's prefix, without lists of one entry."""
+    """(key, set, n, df, at): list entries of every set's prefix, without lists of one entry; at is the place in the order."""
     shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"))
     back = tokens.join(shared, "token")
     other = ~F.col("token").between(0, THIRD)  # hashes over a half of the range are negative here
@@ -129,7 +136,7 @@ def prefix_entries(tokens: DataFrame, slack: float) -> DataFrame:
     rows = (back.repartition("set").dropDuplicates(["set", "token"]).withColumn("_other", other)
             .withColumn("_at", F.when(F.col("_other"), F.col("n_first") + F.col("n_other") - returned + rank).otherwise(F.col("n_first") - returned + rank)))
     return (rows.where(F.col("_at") <= F.floor(F.lit(slack) * F.col("n") + F.lit(1e-9)) + 1)
-            .select(F.col("token").alias("key"), "set", "n", "df"))
+            .select(F.col("token").alias("key"), "set", "n", "df", (F.col("_at") - 1).cast("int").alias("at")))
 
 
 def light_boundary(sizes: dict[int, int], scans: dict[int, tuple[int, int]], threshold: float) -> int:
@@ -161,10 +168,6 @@ def subset_keys(light: DataFrame, top: int, threshold: float) -> DataFrame:
     return light.select("set", "n", "small").mapInArrow(run, "key long, set long, n int")
 
 
-def compatible(n: str, m: str, threshold: float):
-    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
-
-
 def confirmed(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by whole intersections."""
     a = contents.select(F.col("set").alias("a"), F.col("tokens").alias("_ta"))
@@ -195,16 +198,32 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     scans = {r[0]: (r[1], r[2]) for r in entries.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("df"), F.count(F.lit(1))).collect()}
     sizes = {r[0]: r[1] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
     top = light_boundary(sizes, scans, threshold)
-    heavy = entries.where(F.col("n") >= F.lit(threshold) * (top + 1)).select("key", "set", "n", F.lit(True).alias("heavy"))
-    light = subset_keys(sets.where(F.col("n").between(1, top)), top, threshold).select("key", "set", "n", F.lit(False).alias("heavy"))
-    ends = heavy.union(light).groupBy("key", "heavy").agg(F.min(F.struct("set", "n")).alias("_lo"), F.max(F.struct("set", "n")).alias("_hi"))
-    ends = cut(ends.where("_lo.set <> _hi.set"))
-    members = cut(heavy.union(light).join(ends, ["key", "heavy"]))
+    heavy = entries.where(F.col("n") >= F.lit(threshold) * (top + 1)).select("key", "set", "n", "at", F.lit(True).alias("heavy"))
+    light = (subset_keys(sets.where(F.col("n").between(1, top)), top, threshold)
+             .select("key", "set", "n", F.lit(0).alias("at"), F.lit(False).alias("heavy")))
+    rows = heavy.union(light)
+    # an entry is of use if, with the smallest partner in its list, enough of the set comes after it
+    shortest = cut(rows.groupBy("key", "heavy").agg(F.min("n").alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"))
+    share = F.lit(threshold / (1 + threshold))
+
+    def reachable(n: Column, m: Column, at: Column) -> Column:
+        return ~F.col("heavy") | (at <= n - F.ceil(share * (n + m) - F.lit(1e-9)))
+
+    useful = cut(rows.join(shortest, ["key", "heavy"])
+                 .where(reachable(F.col("n"), F.greatest(F.col("_m"), F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9))), F.col("at"))).drop("_m"))
+    # of the two representatives one has the fewest rare shingles, so it is close to most others; the other is any
+    ends = useful.groupBy("key", "heavy").agg(F.min(F.struct(F.col("at"), F.col("set"), F.col("n"))).alias("_lo"),
+                                              F.max(F.struct(F.col("set"), F.col("n"), F.col("at"))).alias("_hi"), F.count(F.lit(1)).alias("_c"))
+    members = cut(useful.join(cut(ends.where("_c > 1").drop("_c")), ["key", "heavy"]))
+
+    def worth(n: Column, at: Column, m: Column, at_m: Column) -> Column:
+        """Sizes and places leave room for a link; light sets meet in light lists alone."""
+        return ((F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (~F.col("heavy") | (F.greatest(n, m) > top))
+                & reachable(n, m, at) & reachable(m, n, at_m))
 
     def against(end: str) -> DataFrame:
         far = F.col(end)
-        return members.where((F.col("set") != far["set"]) & (F.least("n", far["n"]) >= F.lit(threshold) * F.greatest("n", far["n"]))
-                             & (~F.col("heavy") | (F.greatest("n", far["n"]) > top))).select(
+        return members.where((F.col("set") != far["set"]) & worth(F.col("n"), F.col("at"), far["n"], far["at"])).select(
             F.least("set", far["set"]).alias("a"), F.greatest("set", far["set"]).alias("b"))
 
     first = cut(against("_lo").union(against("_hi")).distinct())
@@ -213,14 +232,17 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     links = cut(confirmed(first, contents, threshold))
     component = connected_components(links)
     # lists whose members still stand apart
-    placed = (members.select("key", "heavy", "set", "n").join(component.withColumnRenamed("node", "set"), "set", "left")
+    placed = (members.select("key", "heavy", "set", "n", "at").join(component.withColumnRenamed("node", "set"), "set", "left")
               .withColumn("component", F.coalesce("component", "set")))
     apart = placed.groupBy("key", "heavy").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key", "heavy")
-    left = cut(placed.join(apart, ["key", "heavy"]))
-    other = left.select("key", "heavy", F.col("set").alias("b"), F.col("n").alias("m"), F.col("component").alias("_c"))
+    left = cut(placed.join(apart, ["key", "heavy"]).join(sets.select("set", "parity"), "set"))
+    other = left.select("key", "heavy", F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("_at"), F.col("component").alias("_c"),
+                        F.col("parity").alias("_parity"))
+    # shingles in one set alone change a bucket's parity, so differing buckets are a lower bound of their number
+    differ = sum((F.bit_count(F.get("parity", k).bitwiseXOR(F.get("_parity", k))) for k in range(BITS // 64)), F.lit(0))
+    close = differ <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("n") + F.col("m")) + F.lit(1e-9)
     second = (left.withColumnRenamed("set", "a").join(other, ["key", "heavy"])
-              .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("_c")) & compatible("n", "m", threshold)
-                     & (~F.col("heavy") | (F.greatest("n", "m") > top)))
+              .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("_c")) & worth(F.col("n"), F.col("at"), F.col("m"), F.col("_at")) & close)
               .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, contents, threshold))
     return connected_components(links.union(more))
@@ -229,7 +251,8 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable over links."""
     each = cut(sized_sets(docs))
-    sets = cut(each.where("n > 0").groupBy("set", "set2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small")))
+    sets = cut(each.where("n > 0").groupBy("set", "set2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"),
+                                                                       F.first("parity").alias("parity")))
     linked = linked_sets(docs, sets, threshold)
     placed = sets.join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
