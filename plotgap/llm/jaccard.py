@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotgap.llm.base import Hashed, cut
+from plotgap.llm.base import Hashed, cut, release
 from plotgap.plans.components import connected_components
 
 N = 5
@@ -195,6 +195,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     """(node, component) of the sets that link with another; ``sets`` has one row per class (set, n, small, rep)."""
     slack = 1 - threshold
     entries = cut(prefix_entries(counted_shingles(docs, slack), slack))
+    release(docs.sparkSession)
     scans = {r[0]: (r[1], r[2]) for r in entries.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("df"), F.count(F.lit(1))).collect()}
     sizes = {r[0]: r[1] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
     top = light_boundary(sizes, scans, threshold)
@@ -229,6 +230,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     first = cut(against("_lo").union(against("_hi")).distinct())
     wanted = members.select("set").distinct().join(sets.select("set", F.col("rep").alias("doc_id")), "set")
     contents = cut(contents_of(docs, wanted))
+    release(docs.sparkSession)
     links = cut(confirmed(first, contents, threshold))
     component = connected_components(links)
     # lists whose members still stand apart
@@ -257,6 +259,7 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     placed = sets.join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = cut(placed.select("set", "component").join(lowest, "component").select("set", "component_id"))
+    release(docs.sparkSession)
     return (each.join(named, "set", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
@@ -264,5 +267,7 @@ def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 def one_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``docs`` with one document of each class: the one of the smallest doc_id. Rows without doc_id all stay."""
     keep = classes(docs.where("doc_id IS NOT NULL"), threshold).where("doc_id = component_id").select("doc_id").distinct()
+    keep = cut(keep)
+    release(docs.sparkSession)
     return (docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
             .union(docs.where("doc_id IS NULL")))
