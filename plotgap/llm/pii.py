@@ -12,7 +12,8 @@ DataFrame expressions only; no row leaves its partition. The key is a parameter;
 
 Defined results: null text stays null; what looks alike but does not validate (wrong check digit, month 13, part
 over 255) is left; offsets never matter, matches are replaced left to right; repeated rows are treated equally; an
-empty table gives an empty result; other columns are kept by ``pseudonymised``.
+empty table gives an empty result; other columns are kept by ``pseudonymised``, but for one named pii, which
+the list of places replaces.
 """
 
 from __future__ import annotations
@@ -189,4 +190,4 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     spotted = text.select("_row", "_t", F.when(F.col("_t").rlike(ANY), found(F.col("_t"), key)).otherwise(
         F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")).alias("_s"))
     done = spotted.select("_row", "_s", replaced(F.col("_t"), F.coalesce("_s", F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))).alias("_t"))
-    return done.select(*[(F.col("_t") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns], F.col("_s").alias("pii"))
+    return done.select(*[(F.col("_t") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns if c != "pii"], F.col("_s").alias("pii"))

@@ -228,7 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
         packed = np.concatenate([[float(m.learned), m.start], m.step.ravel(), m.document, m.weights])
         yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["model"])
 
-    v = np.frombuffer(sample(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").first()[0])
+    row = sample(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").first()
+    if row is None:  # no row, no task
+        return fit([], np.zeros(0))
+    v = np.frombuffer(row[0])
     return Model(v[9:], float(v[1]), v[2:6].reshape(2, 2), v[6:9], bool(v[0]))
 
 
