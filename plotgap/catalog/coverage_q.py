@@ -204,11 +204,11 @@ def last_look(t):
     return V.last_look(t.observations.select("obs_id", "lon", "lat"), t.searched, "obs_id", "day", 0.05, 2)
 
 
-PASSES = """(SELECT 'A' || (event_id//2) AS name, 'S' || (user_id%3) AS satellite, t_us, event_id, lon-0.6e0 AS lon0, lon+0.6e0 AS lon1, lat-0.5e0 AS lat0, lat+0.5e0 AS lat1 FROM e WHERE event_type='view')"""
+PASSES = """(SELECT 'A' || (event_id//2) AS name, 'S' || (user_id%3) AS satellite, t_us, event_id, lon-0.6e0 AS lon0, lon+0.6e0 AS lon1, lat-0.5e0 AS lat0, lat+0.5e0 AS lat1 FROM e)"""
 
 
 def passes(t):
-    return t.e.where("event_type = 'view'").select(
+    return t.e.select(
         F.concat(F.lit("A"), F.expr("event_id div 2").cast("string")).alias("name"), F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("satellite"),
         "t_us", "event_id", (F.col("lon") - 0.6).alias("lon0"), (F.col("lon") + 0.6).alias("lon1"),
         (F.col("lat") - 0.5).alias("lat0"), (F.col("lat") + 0.5).alias("lat1"))

@@ -145,12 +145,12 @@ def even_sample(t):
     return L.even_sample(t.candidates, 40, ["obs_id"], chunk_of("obs_id", 100_000)).select("obs_id")
 
 
-@query("label_queue", f"""WITH {CD} SELECT key, round({d.u('lq', 'key')}, 9) AS shuffle FROM cd WHERE key%3<>1 AND key%7<>0 AND key NOT IN (SELECT key FROM vd) ORDER BY shuffle, key""")
+@query("label_queue", f"""WITH {CD} SELECT key, round({d.u('lq', 'key')}, 9) AS shuffle FROM cd WHERE key NOT IN (SELECT key FROM vd)
+    AND EXISTS (SELECT 1 FROM cd h WHERE abs(h.lat-cd.lat)<1e-4 AND {d.hav('cd.lat', 'cd.lon', '(h.lat+(h.key%4)*5e-6)', 'h.lon')}<=1) ORDER BY shuffle, key""")
 def label_queue(t):
     c = cand(t)
-    chips = c.where("key % 7 <> 0").select(F.col("key").alias("chip"), "lon", "lat")
-    session = c.where("key % 3 <> 1").select("key")
-    return rounded(L.label_queue(c, chips, verd(t), session, "lq").where("chip = key").select("key", "shuffle"), "shuffle")
+    chips = c.select(F.col("key").alias("chip"), "lon", (F.col("lat") + (F.col("key") % 4) * 5e-6).alias("lat"))  # half of them too far away
+    return rounded(L.label_queue(c, chips, verd(t), c.select("key"), "lq").select("key", "shuffle"), "shuffle")
 
 
 @query("label_progress", f"""WITH {CD} SELECT stratum, coalesce(verdict, 'unread') AS verdict, count(*) AS n, count(*) FILTER (WHERE verdict IN ('ambiguous', 'fixed') AND coalesce(trim(note), '')='') AS n_without_note FROM cd LEFT JOIN vd USING (key) GROUP BY 1, 2""")

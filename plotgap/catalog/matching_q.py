@@ -178,7 +178,7 @@ def frontier_filter(t):
     return M.frontier_filter(t.observations, F.lit(200_000_000_000)).withColumn("days_past", F.round("days_past", 6))
 
 
-POLLS = "(SELECT 'F' || (user_id%4) AS feed_id, user_id%3 AS round, CASE WHEN user_id%4<2 THEN 'v' || (event_id%400) ELSE 'v' || event_id END AS vehicle_id, CASE WHEN user_id%5=0 THEN NULL ELSE 'L' || (event_id%700) END AS label, lat, lon FROM e WHERE event_type='view')"
+POLLS = "(SELECT 'F' || (user_id%4) AS feed_id, user_id%3 AS round, CASE WHEN user_id%4<2 THEN 'v' || (event_id%400) ELSE 'v' || event_id END AS vehicle_id, CASE WHEN user_id%5=0 THEN NULL ELSE 'L' || (event_id%700) END AS label, lat, lon FROM e)"
 FLEET = f"""po AS {POLLS}, pp AS (SELECT * FROM (VALUES ('F0','F1'),('F2','F3'),('F0','F9')) v(a,b)), pa AS (SELECT a, b, round, vehicle_id, label, lat, lon, row_number() OVER () AS i FROM pp JOIN po ON a=feed_id),
   pb AS (SELECT a, b, round, vehicle_id, label, lat, lon FROM pp JOIN po ON b=feed_id), ks AS (SELECT a, b, round FROM pp, (SELECT DISTINCT round FROM po)),
   cn AS (SELECT ks.*, (SELECT count(*) FROM pa x WHERE x.a=ks.a AND x.b=ks.b AND x.round=ks.round) AS n_a, (SELECT count(*) FROM pb x WHERE x.a=ks.a AND x.b=ks.b AND x.round=ks.round) AS n_b,
@@ -189,7 +189,7 @@ FLEET = f"""po AS {POLLS}, pp AS (SELECT * FROM (VALUES ('F0','F1'),('F2','F3'),
 
 def fleet(t):
     u, ev = F.col("user_id"), F.col("event_id")
-    polls = t.e.where("event_type = 'view'").select(
+    polls = t.e.select(
         F.concat(F.lit("F"), (u % 4).cast("string")).alias("feed_id"), (u % 3).alias("round"),
         F.concat(F.lit("v"), F.when(u % 4 < 2, ev % 400).otherwise(ev).cast("string")).alias("vehicle_id"),
         F.when(u % 5 != 0, F.concat(F.lit("L"), (ev % 700).cast("string"))).alias("label"), "lat", "lon")
@@ -204,7 +204,10 @@ def same_fleet_verdict(t):
     return fleet(t)
 
 
-@query("same_fleet_overall")
+@query("same_fleet_overall", f"""WITH {FLEET}, vr AS (SELECT a, b, CASE WHEN least(n_a,n_b)=0 THEN NULL WHEN shared_vehicle_id>=0.5*least(n_a,n_b) THEN 'SAME VEHICLES by id' WHEN shared_label>=0.5*least(n_a,n_b) THEN 'SAME VEHICLES by label'
+    WHEN near_within_m>=0.5*least(n_a,n_b) THEN 'SAME VEHICLES by position' ELSE 'DIFFERENT vehicles' END AS verdict FROM cn),
+    sd AS (SELECT a, b, list_sort(list_distinct(list(verdict) FILTER (WHERE verdict IS NOT NULL))) AS s FROM vr GROUP BY 1, 2)
+    SELECT a, b, CASE WHEN coalesce(len(s), 0)=0 THEN 'UNDECIDED in every round' WHEN len(s)=1 THEN s[1] ELSE 'INCONSISTENT across rounds: ' || array_to_string(s, ', ') END AS overall FROM sd""")
 def same_fleet_overall(t):
     return M.overall_verdict(fleet(t))
 

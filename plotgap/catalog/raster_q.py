@@ -149,10 +149,10 @@ def holdout_ladder(t):
     return x.select("scene", "step", "n", F.round("rms_m", 3).alias("rms_m"), F.round("worst_m", 3).alias("worst_m"))
 
 
-@query("local_error", f"""WITH {LH}, pb AS (SELECT *, CASE WHEN row>=64 THEN 64 ELSE (row//8)*8 END AS r0, (col//8)*8 AS c0 FROM pixels WHERE dn>=400)
+@query("local_error", f"""WITH {LH}, pb AS (SELECT *, CASE WHEN row>=64 THEN 64 ELSE (row//8)*8 END AS r0, (col//8)*8 AS c0 FROM pixels)
     SELECT pb.scene, pb.row, pb.col, round(coalesce(max(e2.e)*any_value(coalesce(1/ratio, 1)), any_value(coalesce(rms_m/ratio, rms_m))), 3) AS error_m FROM pb JOIN lh USING (scene) LEFT JOIN e2 ON e2.scene=pb.scene AND e2.prow BETWEEN r0-8 AND r0+16 AND e2.pcol BETWEEN c0-8 AND c0+16 GROUP BY 1, 2, 3""")
 def local_error(t):
-    return R.local_error(t.pixels.where("dn >= 400").select("scene", "row", "col"), t.lattice).select("scene", "row", "col", F.round("error_m", 3).alias("error_m"))
+    return R.local_error(t.pixels.select("scene", "row", "col"), t.lattice).select("scene", "row", "col", F.round("error_m", 3).alias("error_m"))
 
 
 

@@ -170,13 +170,13 @@ def gtfsrt_positions(t):
     return placed.groupBy("feed_id", "vehicle_key").agg(F.count(F.lit(1)).alias("n"), F.sum("vehicle_ts").alias("ts"), F.round(F.sum("lat"), 2).alias("lat"))
 
 
-@query("institutional_fleet_union", """SELECT fleet, vehicle_id, round(heading_deg, 6) AS heading_deg, round(speed_mps, 6) AS speed_mps, ts FROM (SELECT 'train' AS fleet, CAST(event_id AS VARCHAR) AS vehicle_id, CASE event_id%4 WHEN 0 THEN 0e0 WHEN 1 THEN 90e0 WHEN 2 THEN 225e0 END AS heading_deg, (event_id%80)*0.44704e0 AS speed_mps, event_id AS ts FROM e WHERE event_type='view'
-    UNION ALL SELECT 'plow', CAST(event_id AS VARCHAR), CASE WHEN event_id%3>0 THEN CAST(event_id%360 AS DOUBLE) END, (event_id%40)*0.44704e0, 1700000000+event_id FROM e WHERE event_type='click' UNION ALL SELECT 'rail', 'rn-' || event_id, CAST(event_id%360 AS DOUBLE), NULL, event_id FROM e WHERE event_type='error' AND event_id%6>0)""")
+@query("institutional_fleet_union", """SELECT fleet, vehicle_id, round(heading_deg, 6) AS heading_deg, round(speed_mps, 6) AS speed_mps, ts FROM (SELECT 'train' AS fleet, CAST(event_id AS VARCHAR) AS vehicle_id, CASE event_id%4 WHEN 0 THEN 0e0 WHEN 1 THEN 90e0 WHEN 2 THEN 225e0 END AS heading_deg, (event_id%80)*0.44704e0 AS speed_mps, event_id AS ts FROM e WHERE event_type IN ('view', 'purchase')
+    UNION ALL SELECT 'plow', CAST(event_id AS VARCHAR), CASE WHEN event_id%3>0 THEN CAST(event_id%360 AS DOUBLE) END, (event_id%40)*0.44704e0, 1700000000+event_id FROM e WHERE event_type NOT IN ('view', 'purchase', 'error') UNION ALL SELECT 'rail', 'rn-' || event_id, CAST(event_id%360 AS DOUBLE), NULL, event_id FROM e WHERE event_type='error' AND event_id%6>0)""")
 def institutional_fleet_union(t):
     k = F.col("event_id")
-    trains = t.e.where("event_type = 'view'").select(k.alias("id"), "lon", "lat", F.when(k % 4 == 0, "n").when(k % 4 == 1, "E").when(k % 4 == 2, "SW").alias("compass"), (k % 80).cast("double").alias("mph"), k.alias("updated_s"), F.lit("Active").alias("state"))
+    trains = t.e.where("event_type IN ('view', 'purchase')").select(k.alias("id"), "lon", "lat", F.when(k % 4 == 0, "n").when(k % 4 == 1, "E").when(k % 4 == 2, "SW").alias("compass"), (k % 80).cast("double").alias("mph"), k.alias("updated_s"), F.lit("Active").alias("state"))
     stamp = F.lit(1_700_000_000) + k
-    plows = t.e.where("event_type = 'click'").select(k.alias("id"), "lon", "lat", F.when(k % 3 > 0, (k % 360).cast("string")).otherwise("north").alias("heading"), (k % 40).cast("string").alias("mph"), F.when(k % 2 == 0, stamp * 1000).otherwise(stamp).alias("stamp"))
+    plows = t.e.where("event_type NOT IN ('view', 'purchase', 'error')").select(k.alias("id"), "lon", "lat", F.when(k % 3 > 0, (k % 360).cast("string")).otherwise("north").alias("heading"), (k % 40).cast("string").alias("mph"), F.when(k % 2 == 0, stamp * 1000).otherwise(stamp).alias("stamp"))
     rail = t.e.where("event_type = 'error'").select(k.alias("run"), F.when(k % 6 > 0, F.col("lon").cast("string")).otherwise("?").alias("lon"), F.col("lat").cast("string").alias("lat"), (k % 360).cast("string").alias("heading"), k.alias("seen_s"))
     u = P.institutional_fleet_union(trains, plows, rail)
     return u.select("fleet", "vehicle_id", F.round("heading_deg", 6).alias("heading_deg"), F.round("speed_mps", 6).alias("speed_mps"), "ts")

@@ -18,7 +18,8 @@ US = 1_000_000
 
 
 def _cell(df: DataFrame) -> DataFrame:
-    return (df.withColumn("col", F.floor(F.col("lon") / C.AIR_CELL_DEG).cast("bigint"))
+    """Rows with a position, and their cell."""
+    return (df.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("col", F.floor(F.col("lon") / C.AIR_CELL_DEG).cast("bigint"))
             .withColumn("row", F.floor(F.col("lat") / C.AIR_CELL_DEG).cast("bigint")))
 
 
@@ -39,13 +40,13 @@ def direct_mask(fixes: DataFrame) -> DataFrame:
 
 def continuity_mask(fixes: DataFrame, max_gap_s: float = C.CONTINUITY_GAP_S) -> DataFrame:
     """Cells crossed between consecutive independent fixes of one aircraft."""
-    ind = fixes.where(F.col("type").isin(C.INDEPENDENT_TYPES)).select("hex", "t_us", "lon", "lat", "event_id")
+    ind = fixes.where(F.col("type").isin(C.INDEPENDENT_TYPES) & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("hex", "t_us", "lon", "lat", "event_id")
     rows = with_next(ind, ["hex"], ["t_us", "lon", "lat", "event_id"], ["t_us", "lon", "lat"], chunk_of("t_us", 6 * HOUR_US))
     gap = (F.col("next_t_us") - F.col("t_us")) / US
     near = rows.where((gap > 0) & (gap <= max_gap_s))
     dx, dy = F.col("next_lon") - F.col("lon"), F.col("next_lat") - F.col("lat")
     steps = F.greatest(F.abs(dx), F.abs(dy)) / (C.AIR_CELL_DEG / 2)
-    near = near.withColumn("_n", F.floor(F.least(F.greatest(steps, F.lit(1.0)), F.lit(400.0))).cast("int"))
+    near = near.withColumn("_n", F.floor(F.greatest(steps, F.lit(1.0))).cast("int"))
     walk = near.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     return walk.select(F.floor((F.col("lon") + dx * F.col("_i") / F.col("_n")) / C.AIR_CELL_DEG).cast("bigint").alias("col"),
                        F.floor((F.col("lat") + dy * F.col("_i") / F.col("_n")) / C.AIR_CELL_DEG).cast("bigint").alias("row")).distinct()

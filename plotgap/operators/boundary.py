@@ -3,11 +3,8 @@ water, with a scattered null and a displaced-pattern null."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,36 +110,22 @@ def _p_value(sims: DataFrame, stat: DataFrame, keys: Sequence[str]) -> DataFrame
                                    F.first("stat").alias("chi2")).withColumn("p", (F.col("k") + 1) / (F.col("trials") + 1))
 
 
-def _draw_multinomial(batches: Iterator[pd.DataFrame], seed: str) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for limit, matched, day, trial, n, bands, shares in b.itertuples(index=False):
-            key = f"{seed}|{limit}|{matched}|{day}|{trial}".encode()
-            rng = np.random.default_rng(int.from_bytes(hashlib.md5(key).digest()[:8], "big"))
-            p = np.asarray(shares, dtype=float)
-            for band, got in zip(bands, rng.multinomial(n, p / p.sum())):
-                out.append((limit, matched, trial, band, int(got)))
-        yield pd.DataFrame(out, columns=["limit", "matched", "trial", "band", "n"])
-
-
-def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str, point_limit: int = 1_000_000) -> DataFrame:
+def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str) -> DataFrame:
     """p of the band chi-square when each pass's points are re-thrown into its own searched water.
 
-    A pass with few points throws each of them by a hash uniform through the cumulative
-    area shares; a pass with more than ``point_limit`` throws draws its band counts at
-    once from the same multinomial law, so the work never exceeds trials x bands.
+    Every point is thrown by a hash uniform through the cumulative area shares, whatever
+    the size of its pass; throws are dealt by (pass, trial) before they are expanded.
     """
     counts, area = pin(counts), pin(area)
     exp = pin(expectation(counts, area))
     stat = chi_square(observed_expected(counts, exp), ["limit", "matched"])
     n = counts.groupBy("limit", "matched", "day").agg(F.sum("n").alias("n_pass"))
     total = area.groupBy("limit", "day").agg(F.sum("km2").alias("km2_pass")).where("km2_pass > 0")
-    few = F.col("n_pass") * trials <= point_limit
     passes = n.join(total, ["limit", "day"])
     upto = running(area, ["limit", "day"], ["band"], F.col("km2"), "upto", "sum", F.lit(0).cast("bigint"))
     cdf = upto.join(total, ["limit", "day"]).groupBy("limit", "day").agg(
         F.array_sort(F.collect_list(F.struct("upto", "band"))).alias("cdf"), F.max("upto").alias("top"))
-    throws = passes.where(few).join(cdf, ["limit", "day"]).select(
+    throws = passes.join(cdf, ["limit", "day"]).select(
         "limit", "matched", "day", "cdf", "top", "n_pass", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
     throws = (spread(throws, "limit", "matched", "day", "trial")
               .select("limit", "matched", "day", "cdf", "top", "trial", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_pass"))).alias("i")))
@@ -150,13 +133,7 @@ def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str, p
     landed = throws.withColumn("_u", mark).select(
         "limit", "matched", "trial", F.filter("cdf", lambda c: c["upto"] > F.col("_u"))[0]["band"].alias("band"))
     thrown = landed.groupBy("limit", "matched", "trial", "band").agg(F.count(F.lit(1)).alias("n"))
-    shares = area.groupBy("limit", "day").agg(F.sort_array(F.collect_list(F.struct("band", "km2"))).alias("s"))
-    draws = passes.where(~few).join(shares, ["limit", "day"]).select(
-        "limit", "matched", "day", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"), "n_pass",
-        F.transform("s", lambda x: x["band"]).alias("bands"), F.transform("s", lambda x: x["km2"]).alias("shares"))
-    big = spread(draws, "limit", "matched", "day", "trial").mapInPandas(
-        lambda it: _draw_multinomial(it, seed), "limit string, matched boolean, trial int, band string, n bigint")
-    sim = thrown.unionByName(big).groupBy("limit", "matched", "trial", "band").agg(F.sum("n").alias("sim"))
+    sim = thrown.withColumnRenamed("n", "sim")
     frame = exp.select("limit", "matched", "band", "expected", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
     filled = frame.join(sim, ["limit", "matched", "trial", "band"], "left").fillna(0, ["sim"])
     return _p_value(chi_square(filled, ["limit", "matched", "trial"], "sim"), stat, ["limit", "matched"])

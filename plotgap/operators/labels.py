@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotgap.functions.classes import agreement_gloss
+from plotgap.functions.geo import haversine_m
+from plotgap.plans.grid import band_join
 from plotgap.plans.ranks import hash_rank, index_rank, quantiles, uniform
 from plotgap.plans.sequence import running
 
@@ -158,10 +160,13 @@ def even_sample(rows: DataFrame, k: int, order: Sequence[str], chunk) -> DataFra
     return ranked.join(F.broadcast(n)).where((size <= k) | hit).drop("_all", "_i", "_n")
 
 
-def label_queue(sample: DataFrame, chips: DataFrame, read: DataFrame, session: DataFrame, seed: str, key: str = "key") -> DataFrame:
-    """Sampled rows with a chip within a metre, of this session, not yet read, in a fixed shuffle."""
-    at = [F.round("lon", 5).alias("_x"), F.round("lat", 5).alias("_y")]
-    ready = sample.select("*", *at).join(chips.select("chip", *at), ["_x", "_y"]).drop("_x", "_y")
+def label_queue(sample: DataFrame, chips: DataFrame, read: DataFrame, session: DataFrame, seed: str, key: str = "key", within_m: float = 1.0) -> DataFrame:
+    """Sampled rows and the nearest chip within ``within_m``, of this session, not yet read, in a fixed shuffle."""
+    places = chips.select("chip", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    near = band_join(sample.select(key, "lat", "lon"), places, ("lat", "lon"), ("_lat", "_lon"), F.lit(within_m), (within_m,), spread="chip")
+    away = haversine_m("lat", "lon", "_lat", "_lon")
+    nearest = near.withColumn("_m", away).where(F.col("_m") <= within_m).groupBy(key).agg(F.min_by("chip", F.struct("_m", "chip")).alias("chip"))
+    ready = sample.join(nearest, key)
     open_ = ready.join(session.select(key).distinct(), key, "left_semi").join(read.select(key).distinct(), key, "left_anti")
     return open_.withColumn("shuffle", uniform(seed, key)).orderBy("shuffle", key)
 

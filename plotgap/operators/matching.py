@@ -105,7 +105,7 @@ def _kuhn(pairs: pd.DataFrame) -> pd.DataFrame:
 PAIR_SCHEMA = "scene bigint, obs_id bigint, platform_id string, track_seq int, distance_m double, radius_m double"
 
 
-def _augment_at_scale(pairs: DataFrame, max_phases: int = 200) -> DataFrame:
+def _augment_at_scale(pairs: DataFrame) -> DataFrame:
     """Maximum matching of components too large for one task, by rounds of joins.
 
     Each phase grows vertex-disjoint alternating trees from all free observations at
@@ -120,7 +120,7 @@ def _augment_at_scale(pairs: DataFrame, max_phases: int = 200) -> DataFrame:
     start = edges.withColumn("_r", F.row_number().over(mine)).where("_r = 1").withColumn(
         "_q", F.row_number().over(nearest)).where("_q = 1")
     matched = start.select("obs_id", "track").checkpoint()
-    for _ in range(max_phases):
+    while True:  # every phase adds a pair, so there are no more phases than pairs
         frontier = edges.select("obs_id").distinct().join(matched, "obs_id", "left_anti").select(
             "obs_id", F.col("obs_id").alias("root"))
         seen, layers, ends = None, [], None
@@ -149,7 +149,6 @@ def _augment_at_scale(pairs: DataFrame, max_phases: int = 200) -> DataFrame:
             at = step.select("obs_id").join(matched, "obs_id").select("track")
         flips = flips.checkpoint()
         matched = matched.join(flips, "obs_id", "left_anti").unionByName(flips).checkpoint()
-    raise RuntimeError("matching did not settle")
 
 
 def maximum_matching(pairs: DataFrame, kuhn_pairs: int = KUHN_PAIRS) -> DataFrame:
@@ -308,6 +307,7 @@ def same_fleet(polls: DataFrame, pairs: DataFrame, match_m: float = 200.0, major
     near = (band_join(a, right, ("lat", "lon"), ("b_lat", "b_lon"), F.lit(match_m), (match_m,), equal=key, spread="b_i")
             .where(haversine_m("lat", "lon", "b_lat", "b_lon") <= match_m)
             .select(*key, "_i").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("near_within_m")))
+    # every pair in every round; both are short lists of what was asked, not of what was seen
     rounds = pairs.join(polls.select("round").distinct()).select(*key)
     n_a = a.groupBy(*key).agg(F.count(F.lit(1)).alias("n_a"))
     n_b = b.groupBy(*key).agg(F.count(F.lit(1)).alias("n_b"))

@@ -17,7 +17,7 @@ def wzdx_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     rows = bodies.select("feed", doc["feed_info"]["version"].alias("version"), F.explode(doc["features"]).alias("f"))
     p, core = F.col("f.properties"), F.col("f.properties.core_details")
     names = F.coalesce(core["road_names"], p["road_names"], F.when(p["road_name"].isNotNull(), F.array(p["road_name"])))
-    return rows.select("feed", "version", F.col("f.id").alias("event_id"), F.substring(F.coalesce(F.array_join(F.slice(names, 1, 3), ", "), F.lit("")), 1, 120).alias("road"),
+    return rows.select("feed", "version", F.col("f.id").alias("event_id"), F.coalesce(F.array_join(names, ", "), F.lit("")).alias("road"),
                        F.coalesce(core["direction"], p["direction"], F.lit("")).alias("direction"), F.coalesce(p["vehicle_impact"], F.lit("")).alias("impact"),
                        p["start_date"].alias("start"), p["end_date"].alias("end"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 

@@ -11,6 +11,9 @@ from plotgap import catalog
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLE = catalog.load()
+#: Queries that no SQL follows yet; any other must have an oracle.
+WITHOUT = {"maximum_matching", "associate", "unmatched_events", "cluster_sites", "gate_grid_search", "choose_gate", "limit_report", "land_nulls", "beta_replicates",
+           "corrected_ratios", "vessel_classifier", "leakage_test", "score_candidates"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +37,8 @@ def test_query(name, spark, duck):
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in ORACLE:
-        return
+        assert name in WITHOUT and got
+        pytest.skip("no oracle SQL; rows only")
     cur = duck.execute(ORACLE[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == cols
