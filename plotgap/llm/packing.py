@@ -38,7 +38,7 @@ BLOCKS = 64
 class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit bytes; forgets once ``most`` words are held."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer, pre_tokenizers
         super().__init__()
         self.whole, self.most, self.parts = Tokenizer.from_file(path), most, {}
