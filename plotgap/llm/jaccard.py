@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotgap.llm.base import Hashed, cut, release
+from plotgap.llm.base import Hashed, cut, release, stored
 from plotgap.plans.components import connected_components
 
 N = 5
@@ -128,6 +128,7 @@ def counted_shingles(docs: DataFrame, slack: float) -> DataFrame:
 def prefix_entries(tokens: DataFrame, slack: float) -> DataFrame:
     """(key, set, n, df, at): list entries of every set's prefix, without lists of one entry; at is the place in the order."""
     shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"))
+    release(tokens.sparkSession)
     back = tokens.join(shared, "token")
     other = ~F.col("token").between(0, THIRD)  # hashes over a half of the range are negative here
     part = Window.partitionBy("set", "_other")
@@ -194,7 +195,7 @@ def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the sets that link with another; ``sets`` has one row per class (set, n, small, rep)."""
     slack = 1 - threshold
-    entries = cut(prefix_entries(counted_shingles(docs, slack), slack))
+    entries = cut(prefix_entries(stored(counted_shingles(docs, slack)), slack))
     release(docs.sparkSession)
     scans = {r[0]: (r[1], r[2]) for r in entries.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("df"), F.count(F.lit(1))).collect()}
     sizes = {r[0]: r[1] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}
