@@ -217,9 +217,10 @@ def chance_match(t):
     WHEN 'F2' THEN 'America/Denver' WHEN 'F3' THEN 'America/Los_Angeles' WHEN 'F4' THEN 'America/New_York' END, make_timestamptz(1709000000000000 + arrival*100000000)) AS VARCHAR) AS local_time
     FROM (SELECT *, arrival AS event_id FROM fixes) WHERE feed_id<>'F5'""")
 def local_wall_time(t):
-    from plotgap.operators.land import FEED_ZONES_DEMO, local_wall_time as lwt
+    from plotgap.catalog.land_q import FEED_ZONES
+    from plotgap.operators.land import local_wall_time as lwt
     x = t.fixes.select(F.col("arrival").alias("event_id"), "feed_id", (F.lit(1709000000) + F.col("arrival") * 100).alias("s"))
-    return lwt(x, "s", FEED_ZONES_DEMO).select("event_id", F.date_format("local_time", "yyyy-MM-dd HH:mm:ss").alias("local_time"))
+    return lwt(x, "s", FEED_ZONES).select("event_id", F.date_format("local_time", "yyyy-MM-dd HH:mm:ss").alias("local_time"))
 
 
 STAMPED = "(SELECT event_id, 'wz-' || pid || CASE WHEN event_id%3=0 THEN '-1700000' || lpad(CAST(event_id%1000 AS VARCHAR),3,'0') WHEN event_id%3=1 THEN '_0000000123' ELSE '' END AS id FROM e)"

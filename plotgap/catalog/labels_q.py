@@ -8,6 +8,7 @@ from plotgap.catalog.matching_q import VERD
 from plotgap.operators import dossiers as Z
 from plotgap.operators import labels as L
 from plotgap.operators import models as ML
+from plotgap.plans.reuse import pin
 from plotgap.plans.sequence import chunk_of
 
 BAND3 = "CASE obs_id%3 WHEN 0 THEN '<=2nm' WHEN 1 THEN '2-10nm' ELSE '>10nm' END"
@@ -173,7 +174,7 @@ def labelled(t):
 
 @query("vessel_classifier")
 def vessel_classifier(t):
-    rows = labelled(t).cache()
+    rows = pin(labelled(t))
     scores = ML.cross_validate(rows, "logistic", FEATURES, folds=3, repeats=1).unionByName(ML.cross_validate(rows, "forest", FEATURES, folds=3, repeats=1, trees=10))
     return ML.pick_best(scores)
 

@@ -8,8 +8,9 @@ from plotgap.catalog.functions_q import VERDICT_SQL
 from plotgap.operators import claims as K
 from plotgap.operators import land as L
 
+FEED_ZONES = {"F0": "America/New_York", "F1": "America/Chicago", "F2": "America/Denver", "F3": "America/Los_Angeles", "F4": "America/New_York"}
 FT = """f0 AS (SELECT *, CASE WHEN vehicle_key LIKE 'entity:%' THEN 'entity_key' WHEN vehicle_ts IS NULL THEN 'no_vehicle_ts' END AS r0 FROM fixes),
- f1 AS (SELECT *, max(vehicle_ts) OVER (PARTITION BY feed_id, vehicle_key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f0 WHERE r0 IS NULL),
+ f1 AS (SELECT *, max(vehicle_ts) OVER (PARTITION BY feed_id, vehicle_key ORDER BY file, vehicle_ts, fetched_at, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f0 WHERE r0 IS NULL),
  f2 AS (SELECT *, CASE WHEN vehicle_ts=seen THEN 'duplicate' WHEN vehicle_ts<seen THEN 'out_of_order' END AS r1 FROM f1)"""
 
 
@@ -20,7 +21,7 @@ def accepted_fixes(t):
 
 
 DI = d.hav("pa", "po", "lat", "lon")
-SP = f"""{FT}, p0 AS (SELECT *, lag(vehicle_ts) OVER w AS pt, lag(lat) OVER w AS pa, lag(lon) OVER w AS po, lag(trip_id) OVER w AS ptr FROM f2 WHERE r1 IS NULL WINDOW w AS (PARTITION BY feed_id, vehicle_key ORDER BY arrival)),
+SP = f"""{FT}, p0 AS (SELECT *, lag(vehicle_ts) OVER w AS pt, lag(lat) OVER w AS pa, lag(lon) OVER w AS po, lag(trip_id) OVER w AS ptr FROM f2 WHERE r1 IS NULL WINDOW w AS (PARTITION BY feed_id, vehicle_key ORDER BY vehicle_ts)),
  p1 AS (SELECT *, CASE WHEN pt IS NULL THEN 'first_fix' WHEN vehicle_ts-pt<15 THEN 'too_close' WHEN vehicle_ts-pt>120 THEN 'gap' WHEN {DI}/(vehicle_ts-pt)>60 THEN 'impossible'
    WHEN coalesce(ptr, '')='' AND coalesce(trip_id, '')='' AND {DI}<{{park}} THEN 'parked' ELSE 'pairs' END AS reason, {DI}/(vehicle_ts-pt) AS v FROM p0)"""
 SPD = SP.format(park=5)
@@ -57,7 +58,7 @@ CH = f"""{SPD}, h0 AS (SELECT *, timezone({ZONE}, make_timestamptz(((pt+vehicle_
     (list_sort(list(bin))[CAST(floor(0.5e0*(count(*)-1)) AS BIGINT)+1]+0.5e0)*0.5e0 AS median_mps, (list_sort(list(bin))[CAST(floor(0.25e0*(count(*)-1)) AS BIGINT)+1]+0.5e0)*0.5e0 AS p25_mps,
     (list_sort(list(bin))[CAST(floor(0.75e0*(count(*)-1)) AS BIGINT)+1]+0.5e0)*0.5e0 AS p75_mps, round(count(*) FILTER (WHERE bin<1)/count(*), 6) AS share_stopped FROM h1 GROUP BY 1, 2, 3, 4""")
 def cell_hours(t):
-    c = L.cell_hours(pairs(t), L.FEED_ZONES_DEMO)
+    c = L.cell_hours(pairs(t), FEED_ZONES)
     return c.select("cell_row", "cell_col", F.col("local_date").cast("string").alias("local_date"), "local_hour", "n_pairs", "n_vehicles", "feeds",
                     "median_mps", "p25_mps", "p75_mps", F.round("share_stopped", 6).alias("share_stopped"))
 

@@ -91,7 +91,7 @@ def _fixes(s: Dialect) -> str:
       365e-1 + (user_id % 40) * 5e-2 + ((event_id * 7919) % 1000) / 200000e0 AS lat,
       -76e0 + (user_id % 40) * 8e-2 + ((event_id * 104729) % 1000) / 200000e0 AS lon,
       CASE WHEN event_id % 31 = 0 THEN NULL ELSE {s.div('raw_us', 400000000)} END AS vehicle_ts,
-      {s.div('raw_us', 400000000)} + 3 + event_id % 5 AS fetched_at
+      {s.div('raw_us', 400000000)} + 3 + event_id % 5 AS fetched_at, {s.div('event_id', 500)} AS file
       FROM e"""
 
 

@@ -184,7 +184,16 @@ def test_empty_near_band_is_not_tested(spark):
 
 
 def fixes(spark, rows):
-    return spark.createDataFrame([(i, "F0", *r) for i, r in enumerate(rows)], "arrival bigint, feed_id string, vehicle_key string, vehicle_ts bigint, lat double, lon double, trip_id string")
+    """One file per row, so the order of rows counts."""
+    return spark.createDataFrame([(i, i, i, "F0", *r) for i, r in enumerate(rows)],
+                                 "arrival bigint, file bigint, fetched_at bigint, feed_id string, vehicle_key string, vehicle_ts bigint, lat double, lon double, trip_id string")
+
+
+def test_jitter_inside_a_file_is_no_disorder(spark):
+    f = fixes(spark, [("b", 130, 39.001, -77.0, "t"), ("b", 100, 39.0, -77.0, "t"), ("b", 90, 39.0, -77.0, "t")])
+    ok, out = L.accepted_fixes(f.withColumn("file", F.col("file") - F.col("file") % 2))
+    assert [r.vehicle_ts for r in ok.orderBy("vehicle_ts").collect()] == [100, 130]
+    assert [(r.vehicle_ts, r.reason) for r in out.collect()] == [(90, "out_of_order")]
 
 
 def test_road_exclusions_are_counted(spark):
