@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -11,7 +12,8 @@ from pyspark.sql import SparkSession
 
 HEADLINE = ["sessionise_tracks", "track_summary", "impossible_speed", "identity_collision", "reception_grid", "scene_fixes", "candidate_pairs", "nearest_report",
             "exclusion_ledger", "cell_hours", "slow_anomalies", "band_counts", "air_units", "difference_in_differences", "clutter_ring_stats", "cluster_pixels",
-            "maximum_matching", "cluster_sites", "cycle_summary", "gate_cost", "shift_null", "scattered_null"]
+            "maximum_matching", "cluster_sites", "cycle_summary", "gate_cost", "shift_null", "scattered_null",
+            "vessel_classifier", "corrected_ratios", "dossier_strength", "limit_report"]
 
 
 def main() -> None:
@@ -19,7 +21,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true").getOrCreate())
+             .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
+             .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from plotgap import catalog
     queries, _ = catalog.load()

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,6 +13,7 @@ def spark():
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
                .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
                .config("spark.sql.streaming.stateStore.providerClass",
                        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
