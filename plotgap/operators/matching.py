@@ -295,7 +295,7 @@ def same_fleet(polls: DataFrame, pairs: DataFrame, match_m: float = 200.0, major
     """
     def one(side, other):
         return (pairs.join(polls, F.col(side) == F.col("feed_id"))
-                .select("a", "b", "round", "vehicle_id", "label", "lat", "lon", F.monotonically_increasing_id().alias("_i")))
+                .select("a", "b", "round", "vehicle_id", "label", "lat", "lon"))
     a, b = one("a", "b"), one("b", "a")
     key = ["a", "b", "round"]
 
@@ -303,10 +303,12 @@ def same_fleet(polls: DataFrame, pairs: DataFrame, match_m: float = 200.0, major
         both = (a.where(F.col(field).isNotNull()).select(*key, field).distinct()
                 .join(b.where(F.col(field).isNotNull()).select(*key, field).distinct(), [*key, field]))
         return both.groupBy(*key).agg(F.count(F.lit(1)).alias(f"shared_{field}"))
-    right = b.select(*key, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.col("_i").alias("b_i"))
-    near = (band_join(a, right, ("lat", "lon"), ("b_lat", "b_lon"), F.lit(match_m), (match_m,), equal=key, spread="b_i")
+    # places with their number of vehicles, so rows need no number of their own
+    places = a.groupBy(*key, "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
+    right = b.select(*key, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).distinct()
+    near = (band_join(places, right, ("lat", "lon"), ("b_lat", "b_lon"), F.lit(match_m), (match_m,), equal=key, spread="b_lat")
             .where(haversine_m("lat", "lon", "b_lat", "b_lon") <= match_m)
-            .select(*key, "_i").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("near_within_m")))
+            .select(*key, "lat", "lon", "_n").distinct().groupBy(*key).agg(F.sum("_n").alias("near_within_m")))
     # every pair in every round; both are short lists of what was asked, not of what was seen
     rounds = pairs.join(polls.select("round").distinct()).select(*key)
     n_a = a.groupBy(*key).agg(F.count(F.lit(1)).alias("n_a"))
