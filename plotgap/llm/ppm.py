@@ -78,50 +78,74 @@ class Trie:
     """log10 probability of each byte after each known context, from four-byte counts."""
 
     def __init__(self, found: np.ndarray, n: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (contexts, counts of the 256 bytes) for 0 to 3 bytes
-        for order in range(4):
-            key = found & ((1 << 8 * (order + 1)) - 1)
-            contexts, row = np.unique(key >> 8, return_inverse=True)
-            counts = np.zeros((max(1, len(contexts)), 256))
-            if len(found):
-                np.add.at(counts, (row, key & 255), n)
-            self.levels.append((contexts if len(contexts) else np.zeros(1, np.int64), counts))
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each three-byte context, log10 probabilities by row)."""
-        tables, rows, used = [], np.zeros(1 << 24, np.int32), 0
-        _, base = self.levels[0]
+        self.keys, self.n = found, n  # sorted by key, so by context
+
+    def level(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts of ``order`` bytes, row of each entry, its byte, its count)."""
+        key = self.keys & ((1 << 8 * (order + 1)) - 1)
+        contexts, row = np.unique(key >> 8, return_inverse=True)
+        return contexts, row, key & 255, self.n
+
+    @staticmethod
+    def dense(rows: int, row: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> np.ndarray:
+        counts = np.zeros((rows, 256))
+        np.add.at(counts, (row, symbol), n)
+        return counts
+
+    @staticmethod
+    def coded(counts: np.ndarray, above: np.ndarray | None, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probabilities, share of the unseen bytes once escaped) of contexts with these counts.
+
+        ``above`` has the counts of the next shorter context, ``outside`` its second result.
+        """
+        seen = counts > 0
+        total, kinds = counts.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
+        if above is not None:
+            rest = np.where(seen, 0, above).sum(axis=1, keepdims=True)
+            new = ((above > 0) & ~seen).sum(axis=1, keepdims=True)
+            outside = np.where(above > 0, above / np.maximum(rest + new, 1), np.where(new > 0, new / np.maximum(rest + new, 1), 1.0) * outside)
+        whole = np.maximum(total + kinds, 1)
+        p = np.where(seen, counts / whole, np.where(total > 0, kinds / whole, 1.0) * outside)
+        with np.errstate(divide="ignore"):
+            return np.log10(p).astype(np.float32), outside
+
+    def table(self, part: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each three-byte context, log10 probabilities by row); contexts are worked off ``part`` at a time."""
+        rows, tables, used = np.zeros(1 << 24, np.int32), [], 1
+        base = self.dense(1, np.zeros(len(self.keys), np.int64), self.keys & 255, self.n)
         left = 256 - (base > 0).sum()
-        outside = np.full((1, 256), 1 / left if left else 0.0)
-        for order, (contexts, counts) in enumerate(self.levels):
-            seen = counts > 0
-            total, kinds = counts.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-            if order:
-                shorter, above = self.levels[order - 1]
-                parent = np.searchsorted(shorter, contexts & ((1 << 8 * (order - 1)) - 1))
-                above, held = above[parent], outside[parent]
-                rest = np.where(seen, 0, above).sum(axis=1, keepdims=True)
-                new = ((above > 0) & ~seen).sum(axis=1, keepdims=True)
-                room = np.maximum(rest + new, 1)
-                outside = np.where(above > 0, above / room, np.where(new > 0, new / room, 1.0) * held)
-                del above, held
-            whole = np.maximum(total + kinds, 1)
-            p = np.where(seen, counts / whole, np.where(total > 0, kinds / whole, 1.0) * outside)
-            with np.errstate(divide="ignore"):
-                tables.append(np.log10(p).astype(np.float32))
-            if order == 3:
-                rows[contexts] = used + np.arange(len(contexts))
-            elif order:
-                fill = rows.reshape(1 << 8 * (3 - order), 1 << 8 * order)
-                fill[:, contexts] = used + np.arange(len(contexts))
+        logs, outside = self.coded(base, None, np.full((1, 256), 1 / left if left else 0.0))
+        tables.append(logs)
+        shorter, above = np.zeros(1, np.int64), base
+        for order in (1, 2, 3):
+            contexts, row, symbol, n = self.level(order)
+            if not len(contexts):
+                break
+            entries = np.argsort(row, kind="stable")
+            row, symbol, n = row[entries], symbol[entries], n[entries]
+            parent = np.searchsorted(shorter, contexts & ((1 << 8 * (order - 1)) - 1))
+            kept = []
+            for at in range(0, len(contexts), part):
+                lo, hi = np.searchsorted(row, [at, at + part])
+                counts = self.dense(min(part, len(contexts) - at), row[lo:hi] - at, symbol[lo:hi], n[lo:hi])
+                mine = parent[at:at + part]
+                logs, beyond = self.coded(counts, above[mine], outside[mine])
+                tables.append(logs)
+                if order < 3:
+                    kept.append((counts, beyond))
+            fill = rows.reshape(1 << 8 * (3 - order), 1 << 8 * order)
+            fill[:, contexts] = used + np.arange(len(contexts))
             used += len(contexts)
+            if order < 3:
+                shorter, above, outside = contexts, *(np.concatenate(c) for c in zip(*kept))
         return rows, np.concatenate(tables)
 
 
 def trained(docs: DataFrame, most_grams: int) -> tuple[np.ndarray, np.ndarray]:
-    got = np.array([tuple(r) for r in grams(docs).orderBy(F.col("n").desc(), "gram").limit(most_grams).collect()], np.int64).reshape(-1, 2)
-    order = np.argsort(got[:, 0])
-    return got[order, 0], got[order, 1]
+    got = grams(docs).orderBy(F.col("n").desc(), "gram").limit(most_grams).toArrow()
+    found, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -157,10 +181,11 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
     vocabulary, tokens, n_learn = (*counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first(), learn.select("doc_id").count())
     if n_learn:
         vocabulary, tokens = vocabulary + 1, tokens + n_learn
-    top = counts.orderBy(F.col("c").desc(), "hash").limit(frequent).collect()
-    model = spark.sparkContext.broadcast((trained(learn, most_grams), {r[0]: math.log10(r[1] + 1) for r in top}))
-    least = top[-1] if len(top) == frequent else None
-    del top
+    top = counts.orderBy(F.col("c").desc(), "hash").limit(frequent).toArrow()
+    logs = dict(zip(top.column("hash").to_pylist(), map(math.log10, (np.add(top.column("c").to_numpy(), 1)).tolist())))
+    least = int(top.column("c").to_numpy().min()) if top.num_rows == frequent else None
+    model = spark.sparkContext.broadcast((trained(learn, most_grams), logs))
+    del top, logs
     release(spark)
     marked = docs.select("doc_id", "text", F.coalesce(~training, F.lit(True)).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
 
@@ -207,7 +232,7 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
 
     known = marked.select("text", "key").mapInArrow(rare, "hash long, key long, n int")
     if least is not None:  # nothing outside the frequent words is more frequent than the last of them
-        counts = counts.where(F.col("c") <= least["c"])
+        counts = counts.where(F.col("c") <= least)
     # rows that are equal in doc_id and text share a key; their sums are shared out again
     sums = (known.join(counts, "hash").groupBy("key")
             .agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_base")))
