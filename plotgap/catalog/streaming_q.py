@@ -93,7 +93,11 @@ def discovery_rate(t):
     return J.discovery_rate(seen.select("mmsi", "first_s"), 5)
 
 
-@query("speed_pair_stream", f"WITH {SPD} SELECT arrival, reason, CASE WHEN reason='pairs' THEN round(v, 6) END AS speed_mps FROM p1 UNION ALL SELECT arrival, r1, NULL FROM f2 WHERE r1 IS NOT NULL UNION ALL SELECT arrival, r0, NULL FROM f0 WHERE r0 IS NOT NULL")
+# a stream takes fixes as they arrive; only files can be put in order first
+ARRIVING = SPD.replace("ORDER BY file, vehicle_ts, fetched_at, arrival", "ORDER BY arrival")
+
+
+@query("speed_pair_stream", f"WITH {ARRIVING} SELECT arrival, reason, CASE WHEN reason='pairs' THEN round(v, 6) END AS speed_mps FROM p1 UNION ALL SELECT arrival, r1, NULL FROM f2 WHERE r1 IS NOT NULL UNION ALL SELECT arrival, r0, NULL FROM f0 WHERE r0 IS NOT NULL")
 def speed_pair_stream(t):
     f = t.fixes.select("arrival", "feed_id", "vehicle_key", "vehicle_ts", "lat", "lon", "trip_id")
     return drained(t, J.speed_pair_stream(staged(t, f, "arrival"))).select("arrival", "reason", F.round("speed_mps", 6).alias("speed_mps"))
