@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plotgap.llm import jaccard, mixing, packing, secret_scan, toxicity
-from plotgap.llm.base import release, stored, table
+from plotgap.llm.base import discard, release, stored, table
 from plotgap.llm.queries import MIX, tokenizer_path, toxicity_model
 
 
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if name != STAGES[0][0]:
+            discard(before)
         release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotgap.llm.base import Hashed, cut, release, stored
+from plotgap.llm.base import Hashed, cut, discard, release, stored
 from plotgap.plans.components import connected_components
 
 N = 5
@@ -195,7 +195,9 @@ def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the sets that link with another; ``sets`` has one row per class (set, n, small, rep)."""
     slack = 1 - threshold
-    entries = cut(prefix_entries(stored(counted_shingles(docs, slack)), slack))
+    tokens = stored(counted_shingles(docs, slack))
+    entries = cut(prefix_entries(tokens, slack))
+    discard(tokens)
     release(docs.sparkSession)
     scans = {r[0]: (r[1], r[2]) for r in entries.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("df"), F.count(F.lit(1))).collect()}
     sizes = {r[0]: r[1] for r in sets.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotgap.llm.base import Hashed, cut, release, sliding_min, stored, window_hashes
+from plotgap.llm.base import Hashed, cut, discard, release, sliding_min, stored, window_hashes
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -151,7 +151,9 @@ def kept_words(docs: DataFrame, min_words: int = 35) -> DataFrame:
     half = cut(repeated(anchors(docs, min_words)))
     release(docs.sparkSession)
     whole = stored(candidates(docs, half, min_words))
+    del half
     release(docs.sparkSession)
     marks = stored(repeated(whole))
+    discard(whole)
     release(docs.sparkSession)
     return strip(docs, marks, min_words)
