@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -78,6 +79,7 @@ def discard(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more."""
     gc.collect()
+    time.sleep(2)  # references held for Python are given up in the background, once a second
     spark.sparkContext._jvm.System.gc()
 
 
