@@ -3,7 +3,6 @@
 import collections
 import hashlib
 import itertools
-import json
 import math
 import random
 import re
@@ -450,4 +449,3 @@ def test_digests_are_of_the_kept_words(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for i, n, removed, kept in brute_substring(docs, 35):
         assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) == (n, removed, hashlib.sha256(kept.encode()).hexdigest())
-    assert json.dumps(sorted(rows))
