@@ -6,8 +6,9 @@ an escape is paid (distinct followers / (total + distinct followers)) and the ne
 symbols already ruled out. Below the empty context all bytes left are equally likely. Texts are read as their words, A-Z
 lowered, joined by one space, with an end mark; code lengths add up to the text's log10 probability.
 
-Training counts come from all training documents by partial aggregation. The trie is bounded: the ``most_grams`` most
-frequent four-byte strings make it (shorter contexts are sums over them), so it can be sent to every task.
+Training counts come from all training documents by partial aggregation, and all of them are kept as a table (shorter
+contexts are sums over them). Code lengths of the ``frequent_grams`` most used four-byte strings are sent to every task; all
+other places of a text, unseen ones too, meet the counts and escape figures of their contexts in joins.
 
 Beside it stands a unigram score of words with add-one smoothing over the whole training vocabulary, which grows with the
 corpus: counts of the ``frequent`` most used words are sent to every task, all other words meet their counts in a join.
@@ -75,7 +76,7 @@ def grams(docs: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """log10 probability of each byte after each known context, from four-byte counts."""
+    """log10 probability of each byte after each known context, from four-byte counts that fit in memory."""
 
     def __init__(self, found: np.ndarray, n: np.ndarray):
         self.keys, self.n = found, n  # sorted by key, so by context
@@ -141,11 +142,86 @@ class Trie:
         return rows, np.concatenate(tables)
 
 
-def trained(docs: DataFrame, most_grams: int) -> tuple[np.ndarray, np.ndarray]:
-    got = grams(docs).orderBy(F.col("n").desc(), "gram").limit(most_grams).toArrow()
-    found, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(found)
-    return found[order], n[order]
+class Counts:
+    """The whole model as tables: by order, (gram, n) of strings of a context and its next byte, and figures of the contexts."""
+
+    def __init__(self, docs: DataFrame):
+        longest = stored(grams(docs))
+        middle = stored(self.shorter(longest, 2))
+        small = self.shorter(middle, 1)
+        self.entries = [self.shorter(small, 0), small, middle, longest]
+        self.contexts = [self.figures(order) for order in (1, 2)]
+        self.contexts.append(stored(self.figures(3)))
+
+    @staticmethod
+    def shorter(entries: DataFrame, order: int) -> DataFrame:
+        return entries.groupBy(F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+
+    def figures(self, order: int) -> DataFrame:
+        """(context, total, kinds, shared): its bytes' count, how many there are, and their count after the next shorter context."""
+        above = self.entries[order - 1].select(F.col("gram").alias("_tail"), F.col("n").alias("_above"))
+        entries = self.entries[order].withColumn("_tail", F.col("gram").bitwiseAND((1 << 8 * order) - 1))
+        return (entries.join(above, "_tail").groupBy(F.shiftright("gram", 8).alias("context"))
+                .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("_above").alias("shared")))
+
+    def frequent(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(gram, log10 probability) of the most used strings."""
+        known = self.entries[3].join(self.contexts[2].withColumnRenamed("context", "_context"), F.shiftright("gram", 8) == F.col("_context"))
+        got = (known.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).cast("float").alias("length"))
+               .orderBy(F.col("n").desc(), "gram").limit(most).select("gram", "length").toArrow())
+        return got.column("gram").to_numpy(), got.column("length").to_numpy()
+
+    def lengths(self, wanted: DataFrame) -> DataFrame:
+        """(gram, length): log10 probability of each of the different strings ``wanted``."""
+        out = wanted.select("gram")
+        for order in (3, 2, 1, 0):
+            entries = self.entries[order].select(F.col("gram").alias("_g"), F.col("n").alias(f"n{order}"))
+            out = out.join(entries if order > 1 else F.broadcast(entries), F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1) == F.col("_g"), "left").drop("_g")
+            if order:  # at most 65,536 contexts of two bytes
+                figures = self.contexts[order - 1].select(F.col("context").alias("_c"), *[F.col(c).alias(f"{c}{order}") for c in ("total", "kinds", "shared")])
+                out = out.join(figures if order > 2 else F.broadcast(figures), F.shiftright("gram", 8).bitwiseAND((1 << 8 * order) - 1) == F.col("_c"), "left").drop("_c")
+        all_ = self.entries[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total0"), F.count(F.lit(1)).alias("kinds0"))
+        return out.crossJoin(F.broadcast(all_)).select("gram", F.log10(self.probability()).cast("float").alias("length"))
+
+    @staticmethod
+    def probability() -> Column:
+        """As ``Trie.coded``, over columns; what an unknown context lacks is null, and the next shorter one answers."""
+        def of(name: str, order: int) -> Column:
+            return F.col(f"{name}{order}")
+
+        def told(order: int, outside: Column) -> Column:
+            whole = of("total", order) + of("kinds", order)
+            return F.when(of("n", order) > 0, of("n", order) / whole).when(of("total", order) > 0, of("kinds", order) / whole * outside)
+
+        outside = F.lit(1.0) / F.greatest(256 - of("kinds", 0), F.lit(1))
+        p = F.coalesce(told(0, outside), outside)
+        for order in (1, 2, 3):
+            rest, new, above = of("total", order - 1) - of("shared", order), of("kinds", order - 1) - of("kinds", order), of("n", order - 1)
+            outside = F.when(above > 0, above / F.greatest(rest + new, F.lit(1))).when(new > 0, new / (rest + new) * outside).otherwise(outside)
+            p = F.coalesce(told(order, outside), p)
+        return p
+
+
+def dense(found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each three-byte context, lengths by row and byte): not a number where a string is not among ``found``."""
+    contexts, row = np.unique(found >> 8, return_inverse=True)
+    rows = np.zeros(1 << 24, np.int32)
+    rows[contexts] = 1 + np.arange(len(contexts))
+    table = np.full((len(contexts) + 1, 256), np.nan, np.float32)
+    table[row + 1, found & 255] = lengths
+    return rows, table.ravel()
+
+
+def listed(gram: np.ndarray, text: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
+    """Lists by text of its different strings and how often each is there."""
+    order = np.lexsort((gram, text))
+    gram, text = gram[order], text[order]
+    first = np.ones(len(gram), bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+    at = np.nonzero(first)[0]
+    offsets = pa.array(np.searchsorted(text[at], np.arange(texts + 1)).astype(np.int32))
+    times = np.diff(np.append(at, len(gram)))
+    return pa.ListArray.from_arrays(offsets, pa.array(gram[at], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -173,7 +249,7 @@ class Common(dict):
         return out
 
 
-def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, frequent: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, frequent: int = 200_000, frequent_grams: int = 200_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``training`` tells the training rows."""
     spark = docs.sparkSession
     learn = docs.where(training)
@@ -184,7 +260,8 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
     top = counts.orderBy(F.col("c").desc(), "hash").limit(frequent).toArrow()
     logs = dict(zip(top.column("hash").to_pylist(), map(math.log10, (np.add(top.column("c").to_numpy(), 1)).tolist())))
     least = int(top.column("c").to_numpy().min()) if top.num_rows == frequent else None
-    model = spark.sparkContext.broadcast((trained(learn, most_grams), logs))
+    strings = Counts(learn)
+    model = spark.sparkContext.broadcast((strings.frequent(frequent_grams), logs))
     del top, logs
     release(spark)
     marked = docs.select("doc_id", "text", F.coalesce(~training, F.lit(True)).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
@@ -204,10 +281,9 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int32())], names=["hash", "key", "n"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (found, n), logs = model.value
+        head, logs = model.value
         common = Common(logs)
-        rows, table = Trie(found, n).table()
-        table = table.ravel()
+        rows, table = dense(*head)
         for batch in batches:
             texts, held, first = [], 0, 0
             for row, text in enumerate(batch.column(1)):
@@ -216,7 +292,11 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
                 if held > 3_000_000 or row + 1 == batch.num_rows:
                     context, symbol, sizes = laid_out(texts)
                     lengths = table[rows[context].astype(np.int64) * 256 + symbol]
-                    total = np.add.reduceat(lengths.astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                    other = np.nonzero(np.isnan(lengths))[0]
+                    lengths[other] = 0
+                    ends = np.cumsum(sizes)
+                    total = np.add.reduceat(lengths.astype(np.float64), np.concatenate([[0], ends[:-1]]))
+                    others = listed(context[other].astype(np.int64) << 8 | symbol[other], np.searchsorted(ends, other, side="right"), len(texts))
                     size, known, base = [], [], []
                     for w in texts:
                         got = [x for x in map(common.__getitem__, w) if x is not None]
@@ -226,8 +306,8 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
                     part = batch.slice(first, len(texts))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(2), part.column(3), pa.array(size, pa.int64()), pa.array(known, pa.int64()),
-                         pa.array(base, pa.float64()), pa.array(total, pa.float64())],
-                        names=["doc_id", "held_out", "key", "n_tokens", "known", "base", "score"])
+                         pa.array(base, pa.float64()), pa.array(total, pa.float64()), *others],
+                        names=["doc_id", "held_out", "key", "n_tokens", "known", "base", "score", "grams", "times"])
                     texts, held, first = [], 0, row + 1
 
     known = marked.select("text", "key").mapInArrow(rare, "hash long, key long, n int")
@@ -236,14 +316,17 @@ def score(docs: DataFrame, training: Column, most_grams: int = 1_000_000, freque
     # rows that are equal in doc_id and text share a key; their sums are shared out again
     sums = (known.join(counts, "hash").groupBy("key")
             .agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_base")))
-    rows = cut(marked.mapInArrow(whole, "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, score double"))
+    rows = cut(marked.mapInArrow(whole, "doc_id long, held_out boolean, key long, n_tokens long, known long, base double, score double, grams array<long>, times array<long>"))
+    others = rows.select("key", F.explode(F.arrays_zip("grams", "times")).alias("_o")).select("key", F.col("_o.grams").alias("gram"), F.col("_o.times").alias("times"))
+    lost = (others.join(strings.lengths(others.select("gram").distinct()), "gram").groupBy("key")
+            .agg(F.sum(F.col("times") * F.col("length").cast("double")).alias("_score")))
     equal = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_equal")).where("_equal > 1")
     end = math.log10(n_learn + 1) if n_learn else 0.0
     norm = math.log10(tokens + vocabulary + 1)
     share = F.coalesce("_equal", F.lit(1))
-    return (rows.join(sums, "key", "left").join(equal, "key", "left")
+    return (rows.join(sums, "key", "left").join(lost, "key", "left").join(equal, "key", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known") + F.coalesce("_known", F.lit(0)) / share + F.lit(1 if n_learn else 0)).cast("long").alias("n_known"),
                     F.lit(tokens).cast("long").alias("train_tokens"),
                     (F.col("base") + F.coalesce("_base", F.lit(0.0)) / share + F.lit(end) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-                    "score"))
+                    (F.col("score") + F.coalesce("_score", F.lit(0.0)) / share).alias("score")))

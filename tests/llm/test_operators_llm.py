@@ -401,6 +401,15 @@ def test_ppm(spark, empty, frequent):
     assert alone.n_known == 0 and alone.score == pytest.approx(3 * math.log10(1 / 256), rel=1e-6)
 
 
+@pytest.mark.parametrize("frequent_grams", [1, 40, 200_000])
+def test_every_gram_counts(spark, frequent_grams):
+    rng = random.Random(16)
+    rows = [(k, text(rng, rng.randrange(1, 30), [*WORDS, f"r{k}", "".join(rng.choice("0123456789abcdef") for _ in range(20))])) for k in range(80)] + [(80, "é 🙂"), (80, "é 🙂"), (81, None)]
+    score = naive_ppm([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = ppm.score(table(spark, rows), crc_remainder("doc_id", 7) != 2, frequent_grams=frequent_grams).collect()
+    assert sorted((r.doc_id, round(r.score, 3)) for r in got) == sorted((i, round(score(t), 3)) for i, t in rows)
+
+
 def test_probabilities_sum_to_one():
     grams = np.unique(np.random.default_rng(0).integers(97, 105, (500, 4)) @ np.array([1 << 24, 1 << 16, 1 << 8, 1]))
     rows, table_ = ppm.Trie(grams, np.arange(1, len(grams) + 1)).table()
