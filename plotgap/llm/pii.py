@@ -8,6 +8,9 @@ keep their grouping and country; social security numbers stay in the ranges give
 dates of 1900 to 2099. Names of mail addresses are permuted as numbers over their letters and digits, place by place of their kind.
 Separators and leading signs are kept.
 
+Cards are looked for in whole runs of digit groups, at every group and up to every group's end: other numbers beside a card
+do not hide it. Groups of the usual shape come first, then the leftmost and longest; other personal data is never cut into.
+
 DataFrame expressions only; no row leaves its partition. The key is a parameter; keep it secret and equal for linked corpora.
 
 Defined results: null text stays null; what looks alike but does not validate (wrong check digit, month 13, part
@@ -36,6 +39,11 @@ PATTERNS = {
 }
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"
 KINDS = tuple(PATTERNS)
+OTHERS = "(?<![A-Za-z0-9])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "card") + ")"
+#: Fixed patterns of runs that can hold cards, and of cards in their usual groups.
+RUN = r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12}[0-9 -]*"
+SHAPED = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
+MOST_GROUPS = 19  # a card has no more digits
 DAYS = (17, 4297)  # their product is the number of days of 1900 to 2099
 
 
@@ -106,6 +114,12 @@ def only(value: Column, others: str) -> Column:
     return F.regexp_replace(value, others, "")
 
 
+def valid_card(value: Column) -> Column:
+    """The pattern of cards and a right check digit."""
+    sound = let(only(value, "[^0-9]"), lambda d: check_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1)))
+    return F.when(value.rlike(f"^(?:{PATTERNS['card']})$"), sound).otherwise(False)
+
+
 def new_card(value: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), permuted(F.substring(d, F.lit(2), F.length(d) - 2), "0123456789", key, "card"))
@@ -172,15 +186,52 @@ def new_email(value: Column, key: str) -> Column:
 MAKERS = {"email": new_email, "date": new_date, "address": new_address, "security": new_security, "phone": new_phone, "card": new_card}
 
 
+def overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def cards(text: Column, others: Column) -> Column:
+    """Array of (start, end, value): card numbers that validate and cut into none of ``others``, not overlapping."""
+    none = F.array().cast("array<struct<unshaped:boolean,start:int,less:int,end:int,value:string>>")
+
+    def candidates(groups: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(groups, begin, lambda a, g: F.struct((a["at"] + F.length(g)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+        def placed(value: Column, start: Column) -> Column:
+            return F.struct((~value.rlike(SHAPED)).alias("unshaped"), start.alias("start"), (-F.length(value)).alias("less"),
+                            (start + F.length(value)).alias("end"), value.alias("value"))
+
+        def of(start: Column, i: Column) -> Column:
+            some = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_GROUPS), F.size(groups) - i)),
+                               lambda k: F.regexp_replace(F.array_join(F.slice(groups, i + 1, k), ""), "[ -]+$", ""))
+            return F.transform(F.filter(some, valid_card), lambda v: placed(v, start))
+        return F.flatten(F.transform(starts, of))
+
+    def free(c: Column) -> Column:  # a card may only hold others whole, behind its start
+        return ~F.exists(others, lambda o: overlap(c, o) & ~((c["start"] < o["start"]) & (o["end"] <= c["end"])))
+
+    def chosen(m: Column) -> Column:
+        all_ = let(F.regexp_extract_all(m["value"], F.lit(r"\d+[ -]*"), F.lit(0)), lambda g: candidates(g, m["start"]))
+        return F.aggregate(F.sort_array(F.filter(all_, free)), none, lambda a, c: F.when(F.exists(a, lambda o: overlap(c, o)), a).otherwise(F.concat(a, F.array(c))))
+    return F.flatten(F.transform(matches(text, RUN), chosen))
+
+
 def found(text: Column, key: str) -> Column:
     """Array of (start, end, kind, value): what validates, with its pseudonym."""
     def of(m: Column) -> Column:
         value, kind, out = m["value"], F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name in reversed(KINDS):
+        for name in reversed([k for k in KINDS if k != "card"]):
             hit = value.rlike(f"^(?:{PATTERNS[name]})$")
             kind, out = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, MAKERS[name](value, key)).otherwise(out)
         return F.struct(m["start"].alias("start"), (m["start"] + F.length(value)).alias("end"), kind.alias("kind"), out.alias("value"))
-    return F.filter(F.transform(matches(text, ANY), of), lambda s: s["value"].isNotNull())
+
+    def both(others: Column) -> Column:
+        def merged(numbers: Column) -> Column:
+            new = F.transform(numbers, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("card").alias("kind"), new_card(c["value"], key).alias("value")))
+            return F.sort_array(F.concat(F.filter(others, lambda o: ~F.exists(numbers, lambda c: overlap(c, o))), new))
+        return let(cards(text, others), merged)
+    return let(F.filter(F.transform(matches(text, OTHERS), of), lambda s: s["value"].isNotNull()), both)
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:

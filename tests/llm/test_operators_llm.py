@@ -348,6 +348,18 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymised(empty, "k").count() == 0 and pii.pseudonymised(docs, "k").drop("pii").count() == docs.count()
 
 
+def test_numbers_beside_cards_hide_nothing(spark):
+    card, spaced, address = "4111111111111111", "4111 1111 1111 1111", "190.137.223.204"
+    cases = [(f"{card} {address}", [card, address]), (f"12 {spaced}", [spaced]), (f"{spaced} 25", [spaced]), (f"7 {spaced}-123 {address}", [spaced, address]), (f"é {card} 12.05.2020", [card, "12.05.2020"]),
+             (f"{card} 555-123-4567", [card, "555-123-4567"]), (f"212-555-0199 {spaced} {card}", ["212-555-0199", spaced, card]), (f"{spaced} 12.bob@mail.org", [spaced, "12.bob@mail.org"]),
+             (f"1  {spaced}", [spaced]), ("3782 822463 10005 4", ["3782 822463 10005"]), ("41111 11111 11111 1", ["41111 11111 11111 1"]), ("1234567890123456", []), ("9" * 5000, [])]
+    for r in pii.pseudonymised(table(spark, [(k, t) for k, (t, _) in enumerate(cases)]), "k").collect():
+        t, want = cases[r.doc_id]
+        assert [t[s.start:s.end] for s in r.pii] == want, t
+        assert not any(w in r.text for w in want)
+        assert all(luhn(re.sub("[^0-9]", "", s.value)) for s in r.pii if s.kind == "card")
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(17 * 23).select(pii.feistel(F.floor(F.col("id") / 23), F.col("id") % 23, F.lit(17), F.lit(23), "k", "t").alias("s")).collect()
     assert len({(r.s.a, r.s.b) for r in got}) == 17 * 23 and all(0 <= r.s.a < 17 and 0 <= r.s.b < 23 for r in got)
