@@ -4,8 +4,9 @@ Known shapes are assignments to secret-sounding names, access keys and long hexa
 ``run`` or more token characters is a candidate: a window of ``window`` characters slides over it, and its Shannon entropy is
 kept up by the counts of its characters, one in and one out at a time. Windows reach the threshold of the run's
 character class (hexadecimal, letters and digits, all token characters) or not; neighbouring ones that do merge into a
-span. Runs on the allow-list (plain words, dotted or slashed names, counting sequences, filler) are suppressed, and so are
-spans that touch a known shape.
+span. Runs on the allow-list (plain words, dotted or slashed names, counting sequences) are suppressed; filler suppresses the
+part between separators that holds it, and what stands beside it is judged alone. Of spans that touch a known shape, what
+lies beyond the parts between separators that the shape touches remains; letters and digits joined to a shape count as its own.
 
 DataFrame expressions only; no row leaves its partition.
 
@@ -32,6 +33,34 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 #: Fixed allow-list, as patterns of whole runs.
 ALLOWED = [r"[A-Za-z]+", r"[A-Z]?[a-z]*([-_./=+]+[A-Z]?[a-z]*)*", r"[A-Za-z]+([-_./][A-Za-z]+)*[-_./]*[0-9.]{0,8}", r".*(?i:example|sample|dummy|placeholder|changeme|xxxx).*",
            r".*(0123456789|abcdefghij|ABCDEFGHIJ).*", r"[0-9.+/=_-]+"]
+#: Fixed pattern of filler, as in the allow-list, and of parts between separators.
+FILLER = r"(?i:example|sample|dummy|placeholder|changeme|xxxx)|0123456789|abcdefghij|ABCDEFGHIJ"
+PART = r"[A-Za-z0-9]+"
+
+
+def minus(start: Column, end: Column, blocks: Column) -> Column:
+    """Array of (start, end): what the sorted ``blocks`` (start, end) leave of a span."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def piece(at: Column, to: Column) -> Column:
+        return F.when(at < to, F.array(F.struct(at.alias("start"), to.alias("end")))).otherwise(none)
+
+    def step(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["out"], piece(a["at"], F.least(b["start"], end))).alias("out"))
+    return F.aggregate(blocks, F.struct(start.alias("at"), none.alias("out")), step, lambda a: F.concat(a["out"], piece(a["at"], end)))
+
+
+def placed(found: Column, offset: Column) -> Column:
+    return F.transform(found, lambda m: F.struct((m["start"] + offset).alias("start"), (m["start"] + offset + F.length(m["value"])).alias("end")))
+
+
+def pieces(m: Column, start: Column, end: Column, blocks: Column) -> Column:
+    """Array of (value, start) of the run ``m``: what ``blocks`` leave of a span of it, without separators at the edges."""
+    def trimmed(s: Column) -> Column:
+        value = F.substring(m["value"], s["start"] - m["start"] + 1, s["end"] - s["start"])
+        return F.struct(F.regexp_replace(value, r"^[-+/_.=]+|[-+/_.=]+$", "").alias("value"),
+                        (s["start"] + F.length(F.regexp_extract(value, r"^[-+/_.=]*", 0))).alias("start"))
+    return F.transform(minus(start, end, blocks), trimmed)
 
 
 def entropy_spans(value: Column, start: Column, window: int, bits: tuple[float, float, float]) -> Column:
@@ -84,12 +113,28 @@ def scanned(text: Column, run: int, window: int, bits: tuple[float, float, float
     access = F.filter(matches(text, ACCESS), lambda m: F.length(m["value"]) >= 18)
     known = F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(matches(text, HEX), "hex"))
     allowed = "^(" + "|".join(ALLOWED) + ")$"
-    tokens = F.filter(matches(text, "[A-Za-z0-9+/_.=-]{%d,}" % run), lambda m: ~m["value"].rlike(allowed))
+    named = "^(" + "|".join(p for p in ALLOWED if not p.startswith(".*")) + ")$"
+
+    def without_filler(m: Column) -> Column:
+        parts = F.filter(matches(m["value"], PART), lambda p: p["value"].rlike(FILLER))
+        return F.when(m["value"].rlike(FILLER), pieces(m, m["start"], m["start"] + F.length(m["value"]), placed(parts, m["start"]))).otherwise(F.array(m))
+    runs = F.filter(matches(text, "[A-Za-z0-9+/_.=-]{%d,}" % run), lambda m: ~m["value"].rlike(named))
+    tokens = F.filter(F.flatten(F.transform(runs, without_filler)), lambda m: (F.length(m["value"]) >= run) & ~m["value"].rlike(allowed))
 
     def both(base: Column) -> Column:
-        high = F.flatten(F.transform(tokens, lambda m: entropy_spans(m["value"], m["start"], window, bits)))
-        fresh = F.filter(high, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.sort_array(F.concat(base, F.transform(fresh, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end")))))
+        def touches(s: Column) -> Column:
+            return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+        def beyond(m: Column, s: Column) -> Column:
+            parts = F.filter(placed(matches(m["value"], PART), m["start"]), touches)
+            blocks = F.sort_array(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), parts))
+            rest = F.filter(pieces(m, s["start"], s["end"], blocks), lambda v: (v["value"] != "") & ~v["value"].rlike(allowed))
+            return placed(rest, F.lit(0))
+
+        def fresh(m: Column) -> Column:
+            return F.flatten(F.transform(entropy_spans(m["value"], m["start"], window, bits), lambda s: F.when(touches(s), beyond(m, s)).otherwise(F.array(s))))
+        high = F.flatten(F.transform(tokens, fresh))
+        return F.sort_array(F.concat(base, F.transform(high, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end")))))
     return let(known, both)
 
 

@@ -316,6 +316,20 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.redacted(empty).count() == 0 and secret_scan.scan(docs).count() == docs.count()
 
 
+def test_secrets_beside_known_shapes_and_filler(spark):
+    secret = "q8Zr2LxT0vBn5KwP1sYd7uFh"
+    cases = [f"9f86d081884c7d65.{secret}", f"é AKIA1234567890ABCD/{secret}", f"{secret}/AKIA1234567890ABCD", f"api.example.com/v1/{secret}", f"{secret}.sample.9f86d081884c7d65/{secret[::-1]}"]
+    rows = list(enumerate(cases)) + [(10, "www.example.com"), (11, f"example{secret}"), (12, "config.aws.api_key=Zx81kLpQ9sTy77vbNmQw22")]
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "entropy"] for r in secret_scan.scan(table(spark, rows)).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(table(spark, rows)).collect()}
+    for k, t in enumerate(cases):
+        for s in (secret, secret[::-1]):
+            at = t.find(s)
+            assert at < 0 or any(a <= at and at + len(s) <= b for a, b in spans[k]), t
+            assert s not in clean[k]
+    assert not spans[10] and not spans[11] and not spans[12]
+
+
 def luhn(d):
     return sum(v if k % 2 == 0 else 2 * v - 9 * (v > 4) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
