@@ -217,7 +217,9 @@ def solve(counts: dict[int, int], capacity: int, classes: int = 1024, rounds: in
     if demand.any():
         out.patterns(fractional_patterns(demand, capacity // unit, rounds, rate), unit)
     out.best_fit()
-    return out
+    plain = Filling(counts, capacity)
+    plain.best_fit()
+    return min(out, plain, key=lambda f: f.opened)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:

@@ -213,6 +213,17 @@ def test_configuration_program(seed):
     assert filled.opened <= math.ceil(sum(k * n for k, n in counts.items()) / 1000) * 1.01 + 1
 
 
+@pytest.mark.parametrize("counts, capacity", [({43: 400, 31: 10, 65: 400}, 128), ({76: 100, 44: 400, 15: 400, 46: 10}, 128), ({}, 128)])
+def test_never_worse_than_best_fit_decreasing(counts, capacity):
+    plain = packing.Filling(counts, capacity)
+    plain.best_fit()
+    filled, load = packing.solve(dict(counts), capacity), collections.Counter()
+    for length, _, n, first in filled.slots:
+        for k in range(n):
+            load[first + k] += length
+    assert filled.opened <= plain.opened and not any(filled.left.values()) and max(load.values(), default=0) <= capacity
+
+
 def test_dearest_pattern_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(20):
