@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgap.llm import jaccard, mixing, packing, pii, ppm, quality, secret_scan, substring, topk, toxicity
+from plotgap.llm import clustering, jaccard, mixing, packing, phrases, pii, ppm, quality, secret_scan, simhash, substring, topk, toxicity
 from plotgap.llm.base import crc_remainder, table
 
 
@@ -83,6 +83,19 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 7) != 2)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), most=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), top=2000, least=30, longest=4, scale=2_000_000, share=80)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, width=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
@@ -94,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLE: dict[str, str] = {}
 
@@ -181,3 +197,48 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
 FROM f LEFT JOIN z USING (id)
 """
+
+ORACLE["op12_phrase_collocations"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) a(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS n FROM g GROUP BY ALL HAVING count(*) >= 30 OR k = 1),
+t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+h AS MATERIALIZED (SELECT lang, k, phrase, a, i, array_to_string(w[:i], ' ') AS x, array_to_string(w[i + 1:], ' ') AS y FROM c, range(1, 4) q(i) WHERE i < k),
+s AS (SELECT h.lang, h.k, h.phrase, a, i, x.n AS l, y.n AS r, 2000000 * a // (x.n + y.n) AS score
+      FROM h JOIN f x ON x.lang = h.lang AND x.phrase = h.x JOIN f y ON y.lang = h.lang AND y.phrase = h.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+o AS (SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS o FROM c, range(2, 4) u(m), range(1, 4) q(i)
+      WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE o IS NULL OR 100 * o < 80 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM r JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """Assignment and integer means, written out round by round."""
+    out = ""
+    for i in range(rounds + 1):
+        out += f"""
+a{i} AS MATERIALIZED (SELECT id, c, d FROM (SELECT v.id, c.c, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i} c)
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1),"""
+        if i < rounds:
+            out += f"""
+m{i} AS MATERIALIZED (SELECT c, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END ORDER BY j) AS e FROM (
+         SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (id)) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c)),"""
+    return out
+
+
+ORACLE["op13_centroid_clustering"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS INTEGER) AS c, e FROM v QUALIFY c < 16),{_rounds(16, 3)}
+s AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY c)
+SELECT vec_id, c AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a3) AS inertia, sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (id) JOIN s USING (c) JOIN c3 USING (c)
+"""
