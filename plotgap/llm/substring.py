@@ -148,7 +148,9 @@ def kept_words(docs: DataFrame, min_words: int = 35) -> DataFrame:
     if min_words < 2:
         raise ValueError("a window has two words at least")
     docs = keyed(docs)
-    half = cut(repeated(anchors(docs, min_words)))
+    marked = stored(anchors(docs, min_words))
+    half = cut(repeated(marked))
+    discard(marked)
     release(docs.sparkSession)
     whole = stored(candidates(docs, half, min_words))
     del half
