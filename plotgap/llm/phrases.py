@@ -10,8 +10,9 @@ before, and whose parts are frequent. A word is two or three bytes of its number
 trie is bounded by ``most`` phrases of each kind, the most frequent ones, and is broadcast. A task puts the words of all its
 texts of one language in one array and advances the states of all text positions at once, word by word; states that accept a
 candidate are counted by bincount, and the counts of all tasks are summed. Windows that are safe but not among the candidates
-are summed as rows of the window itself, so nothing is missed; frequent phrases never become rows. If not all frequent phrases
-of k - 1 words fit the trie, windows outside it count as safe.
+are summed as rows, so nothing is missed: a row is the number of the phrase of k - 1 words in the trie and that of the last
+word, which together are the window exactly. Frequent candidates never become rows. If not all frequent phrases of k - 1 words
+fit the trie, windows outside it count as safe, and rows hold the words themselves.
 
 The score of a phrase is floor(scale * a / (l + r)) at its lowest-scoring cut into two parts, a, l and r being the counts of
 the phrase and of the parts; the first such cut counts. Arithmetic is in decimals of 38 digits. Phrases inside a longer
@@ -32,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotgap.llm.base import stored
+from plotgap.llm.base import release, stored
 
-UNIT = 4_000_000
+UNIT = 1_500_000
 LOCALLY = 8
-HOLD = 1_000_000
+HOLD = 250_000
 HOT = 1000
 _GAP = b"\n"
 _UPPER = bytes(range(65, 91))
 #: Fixed bytes: what ends a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + b"\t" + _ENDS, _UPPER.lower() + b" " + _GAP * len(_ENDS))
+NUMBERS = "key long, next int, n long"
+WORD_BITS = 31
 ROWS = "seed boolean, lang string, phrase string, n long"
 
 
@@ -92,6 +95,7 @@ class Trie:
         rows, cand = numbered(known, k - 1), numbered(wanted, k)
         self.words = words.names[2:]
         self.digits = 1 + (len(self.words) > 256) + (len(self.words) > 65_536)
+        self.known, self.known_lang = rows.astype(np.int32), [lang for lang, _ in known]
         self.cand, self.cand_lang = cand.astype(np.int32), [lang for lang, _ in wanted]
         self.free = np.ones(4096, bool)
         self.free[:256 + len(langs)] = False
@@ -112,6 +116,11 @@ class Trie:
         self.base, self.check = self.base[:self.tail + 257], self.check[:self.tail + 257]
         self.accept = np.full(len(self.base), -1, np.int32)
         self.accept[at[1]] = np.arange(len(cand))
+        self.place = np.full(len(self.base), -1, np.int32)  # states of the phrases of k - 1 words
+        self.place[at[0]] = np.arange(len(rows))
+        number = dict(zip(known, range(len(known))))
+        before = np.array([number.get((lang, p.rsplit(" ", 1)[0]), -1) for lang, p in wanted], np.int64)
+        self.cand_key = before << WORD_BITS | cand[:, -1] if len(cand) else before
         del self.free
 
     def _grow(self, size: int) -> None:
@@ -214,37 +223,96 @@ def words_counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, ROWS)
 
 
-def level_counted(texts: DataFrame, trie, complete: bool, k: int, last: bool) -> DataFrame:
-    """Counts of the phrases of k words, and unless it is the last level seeds of one word more. ``trie`` is broadcast."""
+class Reader:
+    """Word numbers and trie symbols of a task's stretches."""
+
+    def __init__(self, trie: Trie):
+        self.trie, self.table = trie, trie.table()
+        self.words, self.symbols = Words(), np.array([-1, -1], np.int64)
+
+    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > HOLD:
+            self.words, self.symbols = Words(), self.symbols[:2]
+        ids = np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens))
+        ids = ids[ids != 0]
+        if len(self.words) > len(self.symbols):
+            self.symbols = np.append(self.symbols, [self.table.get(w, -1) for w in self.words.names[len(self.symbols):]]).astype(np.int64)
+        return ids, self.symbols[ids]
+
+    def states(self, lang: str, symbol: np.ndarray, k: int) -> np.ndarray:
+        """State of the window of k - 1 words at every place where there is one."""
+        state = np.full(max(len(symbol) - k + 2, 0), self.trie.root.get(lang, 0), np.int64)
+        for j in range(k - 1):
+            state = self.trie.advance(state, symbol[j:j + len(state)])
+        return state
+
+
+def level_keyed(texts: DataFrame, trie, k: int, last: bool) -> DataFrame:
+    """Numbered counts of the phrases of k words, and unless it is the last level seeds of one word more (``next``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Trie = trie.value
-        table = t.table()
-        words, symbols = Words(), np.array([-1, -1], np.int64)
-        count = np.zeros(len(t.cand), np.int64)
+        reader, count = Reader(t), np.zeros(len(t.cand), np.int64)
+
+        def rows(key, following, n):
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(following, pa.int32()), pa.array(n, pa.int64())], names=["key", "next", "n"])
         for lang, tokens in stretches(batches):
-            if len(words) > HOLD:
-                words, symbols = Words(), symbols[:2]
-            ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-            ids = ids[ids != 0]
-            if len(words) > len(symbols):
-                symbols = np.append(symbols, [table.get(w, -1) for w in words.names[len(symbols):]]).astype(np.int64)
-            n = len(ids) - k + 1
-            if n <= 0:
+            _, symbol = reader.read(tokens)
+            state = reader.states(lang, symbol, k)
+            at = np.nonzero((state[:-1] > 0) & (state[1:] > 0))[0]
+            if not len(at):
+                continue
+            end = symbol[at + k - 1]
+            accepted = t.accept[t.advance(state[at], end)]
+            hit = accepted >= 0
+            count += np.bincount(accepted[hit], minlength=len(count))
+            key = t.place[state[at]].astype(np.int64) << WORD_BITS | end
+            own, which, n = np.unique(key, return_inverse=True, return_counts=True)
+            tail = np.ones(len(own), bool)
+            tail[which[hit]] = False
+            yield rows(own[tail], np.full(int(tail.sum()), -1, np.int32), n[tail])
+            if not last:
+                often = np.nonzero((n[which[:-1]] >= LOCALLY) & (at[1:] == at[:-1] + 1))[0]
+                code = which[often].astype(np.int64) << WORD_BITS | end[often + 1]
+                code, times = np.unique(code, return_counts=True)
+                code, times = code[times >= LOCALLY], times[times >= LOCALLY]
+                yield rows(own[code >> WORD_BITS], (code & ((1 << WORD_BITS) - 1)).astype(np.int32), times)
+        some = np.nonzero(count)[0]
+        yield rows(t.cand_key[some], np.full(len(some), -1, np.int32), count[some])
+    return texts.mapInArrow(run, NUMBERS)
+
+
+def spelled(numbered: DataFrame, trie) -> DataFrame:
+    """Numbered rows in words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: Trie = trie.value
+        for batch in batches:
+            key, following = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            place, word = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
+            phrases = [b" ".join([t.words[w] for w in [*row, end, *([nxt] if nxt >= 0 else [])]])
+                       for row, end, nxt in zip(t.known[place].tolist(), word.tolist(), following.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(following >= 0), pa.array([t.known_lang[p] for p in place.tolist()], pa.string()),
+                                              pa.array(phrases, pa.string()), batch.column(2)], names=["seed", "lang", "phrase", "n"])
+    return numbered.mapInArrow(run, ROWS)
+
+
+def level_worded(texts: DataFrame, trie, k: int, last: bool) -> DataFrame:
+    """The same with rows in words, where the trie holds only some of the frequent phrases of k - 1 words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: Trie = trie.value
+        reader, count = Reader(t), np.zeros(len(t.cand), np.int64)
+        for lang, tokens in stretches(batches):
+            ids, symbol = reader.read(tokens)
+            state = reader.states(lang, symbol, k)
+            if len(state) < 2:
                 continue
-            symbol = symbols[ids]
-            state = np.full(len(ids) - k + 2, t.root.get(lang, 0), np.int64)
-            for j in range(k - 1):
-                state = t.advance(state, symbol[j:j + len(state)])
             safe = inside(ids, k)
-            if complete:
-                safe &= (state[:-1] > 0) & (state[1:] > 0)
             accepted = t.accept[t.advance(state[:-1], symbol[k - 1:])]
             hit = accepted >= 0
             count += np.bincount(accepted[hit], minlength=len(count))
-            yield _batch(False, lang, *windows(ids, np.nonzero(safe & ~hit)[0], k, words.names))
+            yield _batch(False, lang, *windows(ids, np.nonzero(safe & ~hit)[0], k, reader.words.names))
             if not last:
                 longer = safe[:-1] & safe[1:]
-                yield _batch(True, lang, *windows(ids, np.nonzero(longer)[0], k + 1, words.names, LOCALLY))
+                yield _batch(True, lang, *windows(ids, np.nonzero(longer)[0], k + 1, reader.words.names, LOCALLY))
         by: dict[str, list[int]] = {}
         for c in np.nonzero(count)[0].tolist():
             by.setdefault(t.cand_lang[c], []).append(c)
@@ -277,8 +345,13 @@ def counted(docs: DataFrame, least: int = 30, longest: int = 4, most: int = 300_
         seeds = [(lang, p) for lang, p in _top(level.where("seed"), most)
                  if (lang, p.rsplit(" ", 1)[0]) in frequent and (lang, p.split(" ", 1)[1]) in frequent]
         trie = docs.sparkSession.sparkContext.broadcast(Trie(held, seeds, k))
-        level = _summed(level_counted(texts, trie, complete, k, k == longest), least)
+        if complete:
+            sums = level_keyed(texts, trie, k, k == longest).groupBy("key", "next").agg(F.sum("n").alias("n"))
+            level = stored(spelled(sums.where((F.col("next") >= 0) | (F.col("n") >= least)), trie))
+        else:
+            level = _summed(level_worded(texts, trie, k, k == longest), least)
         trie.unpersist()
+        release(docs.sparkSession)
         out = out.union(level.where("NOT seed").select("lang", "phrase", F.lit(k).alias("size"), "n"))
     return out
 
