@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from plotgap.llm.base import release, stored
 
-UNIT = 1_500_000
+UNIT = 750_000
 LOCALLY = 8
-HOLD = 250_000
+HOLD = 100_000
 HOT = 1000
+BATCH = 2000
 _GAP = b"\n"
 _UPPER = bytes(range(65, 91))
 #: Fixed bytes: what ends a piece.
@@ -390,7 +391,13 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of every language."""
     if not 2 <= longest <= 6:
         raise ValueError("longest is between 2 and 6 words")
-    counts = stored(counted(docs, least, longest, most))
+    conf, small = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(small)
+    conf.set(small, str(BATCH))  # batches of texts stand in every task's memory several times
+    try:
+        counts = stored(counted(docs, least, longest, most))
+    finally:
+        conf.set(small, before)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored(counts, longest, scale, share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     n = counts.where("size = 0").select("lang", "n")
