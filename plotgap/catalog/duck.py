@@ -82,3 +82,22 @@ def wilson(k, n, side):
     half = f"(1.96e0*sqrt({p}*(1-{p})/{n}+3.8416e0/(4*{n}*{n}))/{den})"
     return (f"CASE WHEN {n} IS NULL THEN NULL ELSE greatest(0e0,{centre}-{half}) END" if side == "lo"
             else f"CASE WHEN {n} IS NULL THEN NULL ELSE least(1e0,{centre}+{half}) END")
+
+
+def pieces(src, keep, size):
+    """Stretches of the lines (lon0, lat0, lon1, lat1) of ``src`` by lattice cell: keep, col, row, f, g."""
+    def edges(a, b):
+        lo, hi = cell(f"least({a},{b})", size), cell(f"greatest({a},{b})", size)
+        return f"list_filter(list_transform(range({lo}+1, {hi}+1), lambda k: (k*{size}-{a})/({b}-{a})), lambda t: t>0 AND t<1)"
+    marks = f"list_sort(list_distinct(list_concat(list_concat([0e0, 1e0], {edges('lon0', 'lon1')}), {edges('lat0', 'lat1')})))"
+    return f"""(SELECT {keep}, {cell('lon0+(f+g)/2*(lon1-lon0)', size)} AS col, {cell('lat0+(f+g)/2*(lat1-lat0)', size)} AS row, f, g FROM (
+      SELECT *, unnest(m[:len(m)-1]) AS f, unnest(m[2:]) AS g FROM (SELECT *, {marks} AS m FROM {src}))) """
+
+
+def tail(z):
+    """Two-sided normal probability by the fixed polynomial."""
+    t = f"(1e0/(1e0+0.2316419e0*abs({z})))"
+    poly = "0e0"
+    for c in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+        poly = f"(({poly}+({c!r}e0))*{t})"
+    return f"round(least(1e0, 2e0*{poly}*exp(-({z})*({z})/2e0)/sqrt(2e0*pi())), 9)"
