@@ -20,11 +20,8 @@ SG = """sg AS (SELECT line_set, x0, y0, x1, y1 FROM segments UNION ALL SELECT 'a
 
 
 def near_sql(name, pts, key, pre=""):
-    c, r = d.cell("p.lon", "1e-1"), d.cell("p.lat", "1e-1")
-    ring = (f"greatest(0, {d.cell('least(x0,x1)', '1e-1')}-{c}, {c}-{d.cell('greatest(x0,x1)', '1e-1')}, "
-            f"{d.cell('least(y0,y1)', '1e-1')}-{r}, {r}-{d.cell('greatest(y0,y1)', '1e-1')})")
-    return f"""{name} AS (SELECT {key}, line_set, min(dm) AS d_m FROM (SELECT *, min(ring) OVER (PARTITION BY {key}, line_set) AS fr FROM (
-      SELECT p.{key}, line_set, {ring} AS ring, {d.seg('p.lon', 'p.lat', 'x0', 'y0', 'x1', 'y1')} AS dm FROM {pts} p, sg) WHERE ring<=40) WHERE ring<=fr+1 GROUP BY 1, 2)"""
+    """The plain minimum over all segments."""
+    return f"""{name} AS (SELECT p.{key}, line_set, min({d.seg('p.lon', 'p.lat', 'x0', 'y0', 'x1', 'y1')}) AS d_m FROM {pts} p, sg GROUP BY 1, 2)"""
 
 
 def band_sql(name, pts, key):

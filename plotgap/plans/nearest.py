@@ -1,60 +1,77 @@
-"""Distance to the nearest line segment, by expanding rings of a coarse lattice."""
+"""Distance to the nearest line segment, exact at any range, over a pyramid of lattices."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotgap.functions.geo import cell_index, segment_distance_m
+from plotgap.functions.geo import M_PER_DEG, cell_index, segment_distance_m
+from plotgap.plans.traversal import crossed_cells
+
+CELL_DEG = 0.1
+#: Each level's cells are four times as wide as the one's below; the last level's span the globe.
+LEVELS = 7
+
+
+def _narrowing(row: Column) -> Column:
+    """Least cosine, never under 0.01, of the latitudes of a row of finest cells."""
+    far = F.greatest(F.abs(row * CELL_DEG), F.abs((row + 1) * CELL_DEG))
+    return F.greatest(F.cos(F.radians(F.least(far, F.lit(90.0)))), F.lit(0.01))
+
 
-RING_DEG = 0.1
-MAX_RINGS = 40
+def segment_cells(segments: DataFrame, line_set: str = "line_set") -> DataFrame:
+    """(line_set, x0, y0, x1, y1, level, c, r): the cells of every level that each segment crosses."""
+    ends = ["x0", "y0", "x1", "y1"]
+    fine = crossed_cells(segments.select(line_set, *ends).distinct(), [line_set, *ends], *ends, CELL_DEG)
+    every = fine.select(line_set, *ends, "col", "row", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    return every.select(line_set, *ends, "level", F.expr("shiftright(col, 2 * level)").alias("c"), F.expr("shiftright(row, 2 * level)").alias("r")).distinct()
 
 
-def segment_cells(segments: DataFrame) -> DataFrame:
-    """Segments exploded to every lattice cell their bounding box touches."""
-    def span(p, q):
-        lo, hi = cell_index(F.least(p, q), RING_DEG), cell_index(F.greatest(p, q), RING_DEG)
-        return F.sequence(lo, hi)
-    return (segments.withColumn("_c", F.explode(span("x0", "x1")))
-            .withColumn("_r", F.explode(span("y0", "y1"))))
+def _around(cells: DataFrame) -> DataFrame:
+    """Each row once for every cell of the 3 x 3 about its own."""
+    for v in ("c", "r"):
+        cells = cells.withColumn(v, F.explode(F.sequence(F.col(v) - 1, F.col(v) + 1)))
+    return cells
+
+
+def candidates(cells: DataFrame, segments: DataFrame, line_set: str) -> DataFrame:
+    """(_c0, _r0, line_set, x0, y0, x1, y1): for each occupied finest cell the segments that can be nearest to a place in it.
+
+    A cell finds, for each line set, the lowest level at which the 3 x 3 cells about it hold a segment. That bounds its
+    distance, so the 3 x 3 of the level whose cells are at least as wide as the bound hold all segments within it; of these, the
+    ones whose distance from the cell's centre is over the bound and half the cell's diagonal drop out.
+    """
+    indexed = segment_cells(segments, line_set)
+    occupied = _around(indexed.select(line_set, "level", "c", "r").distinct()).distinct()
+    asked = cells.select("_c0", "_r0", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    asked = asked.select("_c0", "_r0", "level", F.expr("shiftright(_c0, 2 * level)").alias("c"), F.expr("shiftright(_r0, 2 * level)").alias("r"))
+    first = asked.join(occupied, ["level", "c", "r"]).groupBy("_c0", "_r0", line_set).agg(F.min("level").alias("_first"))
+    reach = F.lit(CELL_DEG * 2 * math.sqrt(2) * 1.001) * F.pow(F.lit(4.0), F.col("_first"))  # degrees of latitude
+    narrow = _narrowing(F.col("_r0"))
+    up = F.ceil(F.log(F.lit(2 * math.sqrt(2) * 1.001) / narrow) / math.log(4.0) - 1e-12)
+    level = F.least(F.lit(LEVELS - 1), F.col("_first") + F.greatest(F.lit(1), up)).cast("int")
+    wide = first.select("_c0", "_r0", line_set, reach.alias("_reach"), level.alias("level"))
+    wide = wide.withColumn("c", F.expr("shiftright(_c0, 2 * level)")).withColumn("r", F.expr("shiftright(_r0, 2 * level)"))
+    near = wide.join(_around(indexed), [line_set, "level", "c", "r"]).select("_c0", "_r0", line_set, "_reach", "x0", "y0", "x1", "y1").distinct()
+    lon, lat = (F.col("_c0") + 0.5) * CELL_DEG, (F.col("_r0") + 0.5) * CELL_DEG
+    centre = segment_distance_m(lon, lat, "x0", "y0", "x1", "y1")
+    shrink = narrow / F.greatest(F.cos(F.radians(F.least(F.abs(lat), F.lit(90.0)))), F.lit(0.01))  # a place may measure east-west shorter than the centre
+    half = CELL_DEG * M_PER_DEG * 0.75
+    return near.where(centre * shrink - half <= F.col("_reach") * M_PER_DEG).drop("_reach")
 
 
 def nearest_line(points: DataFrame, segments: DataFrame, key: str, line_set: str = "line_set",
                  lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """(key, line_set, d_m) of the nearest segment of each line set.
-
-    Two rounds, both equi-joins on lattice cells. The points are first collapsed
-    to their occupied cells, and each cell learns, per line set, the ring at which
-    it first meets an indexed segment cell (at most ``MAX_RINGS``). Each point then
-    looks only at segment cells up to one ring past that, enough for the exact
-    minimum. No row appears for a line set beyond the range: its distance is null
-    downstream, never zero.
+    """(key, line_set, d_m) of the nearest segment of each line set, at any distance.
+
+    Points are collapsed to their occupied cells to find candidates, by equi-joins on (level, cell) alone; only then is each
+    point measured against its cell's candidates. Points without a place have no row.
     """
-    pts = points.select(key, lon, lat).withColumn("_c0", cell_index(lon, RING_DEG)).withColumn(
-        "_r0", cell_index(lat, RING_DEG))
-    indexed = segment_cells(segments.select(line_set, "x0", "y0", "x1", "y1"))
-    occupied = indexed.select(line_set, "_c", "_r").distinct()
-    cells = pts.select("_c0", "_r0").distinct()
-    # coarse bins as wide as the search range, so the ring search is an equi-join
-    wide = 2 * MAX_RINGS + 1
-    coarse = [F.floor(F.col(x) / F.lit(wide)).cast("bigint").alias(y)
-              for x, y in (("_c", "_bc"), ("_r", "_br"))]
-    near_bins = (cells.withColumn("_bc", F.explode(F.array(
-        *[F.floor((F.col("_c0") + s * MAX_RINGS) / F.lit(wide)).cast("bigint") for s in (-1, 1)])))
-        .withColumn("_br", F.explode(F.array(
-            *[F.floor((F.col("_r0") + s * MAX_RINGS) / F.lit(wide)).cast("bigint") for s in (-1, 1)])))
-        .distinct())
-    ring = F.greatest(F.abs(F.col("_c") - F.col("_c0")), F.abs(F.col("_r") - F.col("_r0")))
-    first = (near_bins.join(occupied.select(line_set, "_c", "_r", *coarse), ["_bc", "_br"])
-             .where(ring <= MAX_RINGS).groupBy("_c0", "_r0", line_set).agg(F.min(ring).alias("_ring")))
-    # a cell sees the segments met within one further ring
-    reach = F.least(F.col("_ring") + 1, F.lit(MAX_RINGS))
-    seen = (near_bins.join(first, ["_c0", "_r0"])
-            .join(indexed.select(line_set, "_c", "_r", "x0", "y0", "x1", "y1", *coarse),
-                  ["_bc", "_br", line_set])
-            .where(ring <= reach)
-            .select("_c0", "_r0", line_set, "x0", "y0", "x1", "y1").distinct())
+    pts = (points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(key, lon, lat)
+           .withColumn("_c0", cell_index(lon, CELL_DEG)).withColumn("_r0", cell_index(lat, CELL_DEG)))
+    seen = candidates(pts.select("_c0", "_r0").distinct(), segments, line_set)
     return (pts.join(seen, ["_c0", "_r0"])
             .groupBy(key, line_set)
             .agg(F.min(segment_distance_m(lon, lat, "x0", "y0", "x1", "y1")).alias("d_m")))

@@ -104,4 +104,30 @@ def test_nearest_line_looks_one_ring_further(spark):
     d = nearest_line(pts, segs, "id").first()["d_m"]
     assert abs(d - 0.151 * 111195.0) < 5
     far = spark.createDataFrame([(1, 30.0, 30.0)], "id bigint, lon double, lat double")
-    assert nearest_line(far, segs, "id").count() == 0
+    assert nearest_line(far, segs, "id").first()["d_m"] > 4e6
+
+
+def test_nearest_line_is_the_plain_minimum(spark):
+    """A box that touches the point's cell does not end the search; lines may be far away, long, upright or near a pole."""
+    rng = random.Random(8)
+    lines = [("s", -77.0, 36.0, -75.0, 38.0), ("s", -75.72, 36.0, -75.72, 36.1), ("far", 179.0, -60.0, 179.0, -59.0), ("long", -170.0, 80.0, 170.0, -70.0), ("dot", 5.0, 5.0, 5.0, 5.0)]
+    lines += [("r", x, y, x + rng.gauss(0, 1.5), y + rng.gauss(0, 1.5)) for x, y in ((rng.uniform(-40, 40), rng.uniform(-80, 80)) for _ in range(60))]
+    pts = [(0, -75.95, 36.05), (1, 0.0, 89.9), (2, 0.0, -89.99), (3, -179.99, 0.0), (4, 179.99, 12.0)]
+    pts += [(10 + k, rng.uniform(-60, 60), rng.uniform(-85, 85)) for k in range(150)]
+    segs = spark.createDataFrame(lines, "line_set string, x0 double, y0 double, x1 double, y1 double")
+    got = nearest_line(spark.createDataFrame([*pts, (999, None, 1.0)], "id bigint, lon double, lat double"), segs, "id")
+
+    def flat(p, q):
+        _, lon, lat = p
+        _, ax, ay, bx, by = q
+        kx = 111195.0 * max(np.cos(np.radians(lat)), 0.01)
+        x0, y0, dx, dy = (ax - lon) * kx, (ay - lat) * 111195.0, (bx - ax) * kx, (by - ay) * 111195.0
+        t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, -(x0 * dx + y0 * dy) / (dx * dx + dy * dy)))
+        return np.hypot(x0 + t * dx, y0 + t * dy)
+    want = {}
+    for p in pts:
+        for q in lines:
+            want[p[0], q[0]] = min(want.get((p[0], q[0]), np.inf), flat(p, q))
+    rows = {(r["id"], r["line_set"]): r["d_m"] for r in got.collect()}
+    assert set(rows) == set(want) and all(abs(rows[k] - v) < 1e-3 for k, v in want.items())
+    assert abs(rows[0, "s"] - 20677) < 2
