@@ -14,13 +14,15 @@ shingles.
 
 Only classes are wanted, so lists are not expanded into all pairs. Every member of a list is compared with two
 representatives of it (the one with fewest rare shingles, and any other); what is found linked is contracted; only
-members of a list that still stand in different components are compared pair by pair, exactly. An entry is left out where
+members of a list that still stand in different components are compared pair by pair, exactly, and each pair only in the
+first list, in the global order, that both are still in. An entry is left out where
 too little of the set comes after it for any partner in the list, and a pair where the parities of shingle buckets show too
 many differences. Comparisons intersect whole sets.
 
 Defined results: null, empty and word-free text has an empty set, which links with nothing; fewer than five words
-are one shingle; repeated rows and equal sets are one class; an empty table gives an empty result; columns other than
-doc_id and text are ignored by ``classes`` and kept by ``one_each``.
+are one shingle; repeated rows and equal sets are one class; rows without doc_id take part and get the smallest doc_id they
+reach, or null if no row of the class has one; rows of one doc_id with different texts are judged by their texts; an empty table
+gives an empty result; columns other than doc_id and text are ignored by ``classes`` and kept by ``one_each``.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ MOST_LIGHT = 12
 ALL_BELOW = 96
 THIRD = (1 << 64) // 3
 BITS = 512
+#: What a row is looked up by, and what tells the texts of one doc_id apart.
+SAME = "xxhash64(coalesce(text, ''))"
+KEY = f"coalesce(doc_id, {SAME})"
 
 
 def shingle_set(text: str, hashed: Hashed) -> np.ndarray:
@@ -66,7 +71,7 @@ def overlap_needed(n: int, m: int, threshold: float) -> int:
 
 
 def sized_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set, set2, small, parity): set size, 128 hash bits of the set, the shingles themselves if there are few,
+    """(doc_id, key, same, n, set, set2, small, parity): set size, 128 hash bits of the set, the shingles themselves if there are few,
     and for each of ``BITS`` buckets of shingles whether their number is odd."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
@@ -81,10 +86,11 @@ def sized_sets(docs: DataFrame) -> DataFrame:
                 small.append(s.view(np.int64).tolist() if 0 < len(s) <= MOST_LIGHT else None)
                 odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
                 parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                                               pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n", "set", "set2", "small", "parity"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set long, set2 long, small array<long>, parity array<long>")
+                                             names=["doc_id", "key", "same", "n", "set", "set2", "small", "parity"])
+    return (docs.select("doc_id", "text", F.expr(KEY).alias("key"), F.expr(SAME).alias("same"))
+            .mapInArrow(run, "doc_id long, key long, same long, n int, set long, set2 long, small array<long>, parity array<long>"))
 
 
 def counted_shingles(docs: DataFrame, slack: float) -> DataFrame:
@@ -179,17 +185,23 @@ def confirmed(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFr
 
 
 def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, tokens) for (doc_id, set) in ``wanted``."""
+    """(set, tokens) for (key, set) in ``wanted``; other texts of a key are passed over, and a set comes once from a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hashed()
+        hashed, seen = Hashed(), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t.as_py() or "", hashed) for t in part.column(1)]
+                sets, marks = [], []
+                for mark, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    s = shingle_set(text.as_py() or "", hashed)
+                    if mark not in seen and int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == mark:
+                        seen.add(mark)
+                        sets.append(s)
+                        marks.append(mark)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["set", "tokens"])
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInArrow(run, "set long, tokens array<long>")
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), tokens], names=["set", "tokens"])
+    return docs.select("text", F.expr(KEY).alias("key")).join(wanted, "key").select("set", "text").mapInArrow(run, "set long, tokens array<long>")
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -231,7 +243,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             F.least("set", far["set"]).alias("a"), F.greatest("set", far["set"]).alias("b"))
 
     first = cut(against("_lo").union(against("_hi")).distinct())
-    wanted = members.select("set").distinct().join(sets.select("set", F.col("rep").alias("doc_id")), "set")
+    wanted = members.select("set").distinct().join(sets.select("set", F.col("rep").alias("key")), "set")
     contents = cut(contents_of(docs, wanted))
     release(docs.sparkSession)
     links = cut(confirmed(first, contents, threshold))
@@ -240,37 +252,52 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     placed = (members.select("key", "heavy", "set", "n", "at").join(component.withColumnRenamed("node", "set"), "set", "left")
               .withColumn("component", F.coalesce("component", "set")))
     apart = placed.groupBy("key", "heavy").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key", "heavy")
-    left = cut(placed.join(apart, ["key", "heavy"]).join(sets.select("set", "parity"), "set"))
-    other = left.select("key", "heavy", F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("_at"), F.col("component").alias("_c"),
-                        F.col("parity").alias("_parity"))
+    lists = cut(apart.withColumn("list", F.monotonically_increasing_id()))
+    still = cut(placed.join(lists, ["key", "heavy"]).drop("key"))
+    # a set's remaining lists in the global order; no more than its prefix
+    own = still.groupBy("set", "heavy").agg(F.array_sort(F.collect_list(F.struct("at", "list"))).getField("list").alias("lists"))
+    left = cut(still.join(own, ["set", "heavy"]).join(sets.select("set", "parity"), "set"))
+    other = left.select("list", F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("_at"), F.col("component").alias("_c"),
+                        F.col("parity").alias("_parity"), F.col("lists").alias("_lists"))
     # shingles in one set alone change a bucket's parity, so differing buckets are a lower bound of their number
     differ = sum((F.bit_count(F.get("parity", k).bitwiseXOR(F.get("_parity", k))) for k in range(BITS // 64)), F.lit(0))
     close = differ <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("n") + F.col("m")) + F.lit(1e-9)
-    second = (left.withColumnRenamed("set", "a").join(other, ["key", "heavy"])
-              .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("_c")) & worth(F.col("n"), F.col("at"), F.col("m"), F.col("_at")) & close)
+    # two sets that link share their first common shingle within reach of both, so the first common list is the one to look in
+    here = F.get(F.array_intersect("lists", "_lists"), F.lit(0)) == F.col("list")
+    second = (left.withColumnRenamed("set", "a").join(other, "list")
+              .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("_c")) & worth(F.col("n"), F.col("at"), F.col("m"), F.col("_at")) & close & here)
               .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, contents, threshold))
     return connected_components(links.union(more))
 
 
-def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable over links."""
+def judged(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): the rows of ``sized_sets``, and (set, component, component_id) of every set that is not empty."""
     each = cut(sized_sets(docs))
-    sets = cut(each.where("n > 0").groupBy("set", "set2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"),
-                                                                       F.first("parity").alias("parity")))
+    sets = cut(each.where("n > 0").groupBy("set", "set2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"),
+                                                              F.first("small").alias("small"), F.first("parity").alias("parity")))
     linked = linked_sets(docs, sets, threshold)
     placed = sets.join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = cut(placed.select("set", "component").join(lowest, "component").select("set", "component_id"))
+    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = cut(placed.select("set", "component").join(lowest, "component").select("set", "component", "component_id"))
     release(docs.sparkSession)
+    return each, named
+
+
+def classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable over links."""
+    each, named = judged(docs, threshold)
     return (each.join(named, "set", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def one_each(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """``docs`` with one document of each class: the one of the smallest doc_id. Rows without doc_id all stay."""
-    keep = classes(docs.where("doc_id IS NOT NULL"), threshold).where("doc_id = component_id").select("doc_id").distinct()
-    keep = cut(keep)
+    """``docs`` with one document of each class: the one of the smallest doc_id, of several texts under it the one whose hash is
+    smallest. Rows without doc_id all stay, and so does one row of every doc_id and text without words."""
+    known = docs.where("doc_id IS NOT NULL")
+    each, named = judged(known, threshold)
+    first = each.join(named, "set").groupBy("component").agg(F.min(F.struct("doc_id", "same")).alias("_f")).select("_f.*")
+    keep = cut(first.union(each.where("n = 0").select("doc_id", "same").distinct()))
     release(docs.sparkSession)
-    return (docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-            .union(docs.where("doc_id IS NULL")))
+    told = known.withColumn("_same_text", F.expr(SAME)).join(keep.withColumnRenamed("same", "_same_text"), ["doc_id", "_same_text"], "left_semi")
+    return told.dropDuplicates(["doc_id", "_same_text"]).select(docs.columns).union(docs.where("doc_id IS NULL"))

@@ -12,8 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plotgap.llm import clustering, phrases, simhash
-from test_operators_llm import awkward, docs, empty, family, table, text  # noqa: F401
+from plotgap.llm import clustering, jaccard, phrases, simhash
+from test_operators_llm import awkward, docs, empty, family, sets_of, table, text  # noqa: F401
 
 
 def naive_fingerprint(t):
@@ -237,3 +237,41 @@ def test_boxes_prune_and_hilbert_order_keeps_neighbours():
     v = np.array([[1, 1], [2, 2], [3, 1]])
     number, best, compared = clustering.nearest(v, v.min(0), v.max(0), np.array([[2, 1], [1000, 1000], [-500, 3], [2, 3]]))
     assert number.tolist() == [0, 0, 0] and best.tolist() == [1, 1, 1] and compared == 2
+
+
+def test_jaccard_null_ids_and_families_below_the_threshold(spark):
+    """Rows without doc_id link like others, a doc_id may have several texts, and a family of copies that hardly link is compared whole."""
+    rng = random.Random(12)
+    base = " ".join(f"b{i}" for i in range(60))
+    rows = awkward() + [(None, base), (None, base + " x"), (903, base + " y"), (904, "another text of five words"), (904, base + " z"), (None, "alone without any id here")]
+    rows += family(rng, 200, 120, 1000, 14) + family(rng, 400, 60, 3000, 26)
+    sets = [next(iter(sets_of([(0, t)]).values())) for _, t in rows]
+    lead = list(range(len(rows)))
+
+    def find(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = find(a), find(b)
+                lead[max(p, q)] = min(p, q)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(i, low.get(find(k), i))
+    want = [(i, len(sets[k]), low.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)]
+    got = jaccard.classes(table(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert len({c for i, _, c in want if i is not None and 1000 <= i < 3000}) > 5
+    kept = jaccard.one_each(table(spark, rows)).collect()
+    alone = [k for k, (i, _) in enumerate(rows) if i is not None]
+    assert len([r for r in kept if r.doc_id == 904]) == 1 and sum(r.doc_id is None for r in kept) == sum(i is None for i, _ in rows)
+    lone = table(spark, [(1, base), (1, "quite another text of words"), (1, base), (2, base + " x")])
+    assert sorted(r.text for r in jaccard.one_each(lone).collect()) == sorted([base, "quite another text of words"]) and alone
+
+
+def test_jaccard_empty(empty):
+    assert jaccard.classes(empty).collect() == [] and jaccard.one_each(empty).collect() == []
