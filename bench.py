@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 HEADLINE = ["sessionise_tracks", "track_summary", "impossible_speed", "identity_collision", "reception_grid", "scene_fixes", "candidate_pairs", "nearest_report",
             "exclusion_ledger", "cell_hours", "slow_anomalies", "band_counts", "air_units", "difference_in_differences", "clutter_ring_stats", "cluster_pixels",
             "maximum_matching", "cluster_sites", "cycle_summary", "gate_cost", "shift_null", "scattered_null",
-            "vessel_classifier", "corrected_ratios", "dossier_strength", "limit_report"]
+            "vessel_classifier", "corrected_ratios", "dossier_strength", "limit_report",
+            "nearest_line", "coverage_gaps", "traffic_exposure", "event_cube", "gi_star", "emerging_hotspots", "loiter", "rendezvous", "orbit_features"]
 
 
 def main() -> None:
