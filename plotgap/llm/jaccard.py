@@ -14,10 +14,10 @@ shingles.
 
 Only classes are wanted, so lists are not expanded into all pairs. Every member of a list is compared with two
 representatives of it (the one with fewest rare shingles, and any other); what is found linked is contracted; only
-members of a list that still stand in different components are compared pair by pair, exactly, and each pair only in the
-first list, in the global order, that both are still in. An entry is left out where
-too little of the set comes after it for any partner in the list, and a pair where the parities of shingle buckets show too
-many differences. Comparisons intersect whole sets.
+members of lists that still stand in different components are compared pair by pair. These lists are pooled by their member of
+smallest hash, a pool's sets are dealt into blocks, and two blocks meet in one place, where sizes and the parities of shingle
+buckets (packed bits, a lower bound of the difference) decide which pairs become rows; those rows are settled by intersecting
+whole sets. An entry is left out where too little of the set comes after it for any partner in the list.
 
 Defined results: null, empty and word-free text has an empty set, which links with nothing; fewer than five words
 are one shingle; repeated rows and equal sets are one class; rows without doc_id take part and get the smallest doc_id they
@@ -45,6 +45,7 @@ MOST_LIGHT = 12
 ALL_BELOW = 96
 THIRD = (1 << 64) // 3
 BITS = 512
+BLOCK = 4096
 #: What a row is looked up by, and what tells the texts of one doc_id apart.
 SAME = "xxhash64(coalesce(text, ''))"
 KEY = f"coalesce(doc_id, {SAME})"
@@ -204,11 +205,72 @@ def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text", F.expr(KEY).alias("key")).join(wanted, "key").select("set", "text").mapInArrow(run, "set long, tokens array<long>")
 
 
+def close_pairs(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: sets of one anchor in different components that may be similar enough, by sizes and parities.
+
+    ``near`` is (anchor, set, n, component). The sets of an anchor are dealt into blocks by hash, and every two blocks meet in one
+    place, so no place holds more than about two blocks; the comparisons are made there, on bits, and only survivors become rows.
+    """
+    size = near.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    own = F.pmod(F.xxhash64("set", F.lit("block")), F.col("_blocks")).cast("int")
+    dealt = (near.join(size.drop("_c"), "anchor").join(sets.select("set", "parity"), "set").withColumn("own", own)
+             .withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+             .select("anchor", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "set", "n", "component", "parity"))
+
+    def compared(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own, mark, n, part = (rows.column(c).to_numpy() for c in ("own", "set", "n", "component"))
+        bits = rows.column("parity").flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        order = np.argsort(n, kind="stable")
+        own, mark, n, part, bits = own[order], mark[order], n[order].astype(np.int64), part[order], bits[order]
+        crossing = own.min() != own.max()
+        left, right = [], []
+        # a partner is no smaller and, with the threshold, no larger than n / threshold
+        last = np.searchsorted(n, np.floor(n / threshold + 1e-9), "right")
+        for k in range(len(n) - 1):
+            to = slice(k + 1, last[k])
+            able = part[to] != part[k]
+            if crossing:
+                able &= own[to] != own[k]
+            at = np.flatnonzero(able) + k + 1
+            differ = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
+            hit = at[differ <= (1 - threshold) / (1 + threshold) * (n[at] + n[k]) + 1e-9]
+            left.append(np.minimum(mark[hit], mark[k]))
+            right.append(np.maximum(mark[hit], mark[k]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def finished():
+            a, b = compared(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            for at in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at:at + 100_000]), pa.array(b[at:at + 100_000])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "i", "j")])
+            starts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                key = tuple(place[:, lo].tolist())
+                if now is not None and key != now:
+                    yield from finished()
+                    held = []
+                now = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from finished()
+    spread = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    return spread.mapInArrow(run, "a long, b long")
+
+
 def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the sets that link with another; ``sets`` has one row per class (set, n, small, rep)."""
     slack = 1 - threshold
     tokens = stored(counted_shingles(docs, slack))
-    entries = cut(prefix_entries(tokens, slack))
+    entries = stored(prefix_entries(tokens, slack))
     discard(tokens)
     release(docs.sparkSession)
     scans = {r[0]: (r[1], r[2]) for r in entries.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("df"), F.count(F.lit(1))).collect()}
@@ -225,12 +287,13 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     def reachable(n: Column, m: Column, at: Column) -> Column:
         return ~F.col("heavy") | (at <= n - F.ceil(share * (n + m) - F.lit(1e-9)))
 
-    useful = cut(rows.join(shortest, ["key", "heavy"])
+    useful = stored(rows.join(shortest, ["key", "heavy"])
                  .where(reachable(F.col("n"), F.greatest(F.col("_m"), F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9))), F.col("at"))).drop("_m"))
     # of the two representatives one has the fewest rare shingles, so it is close to most others; the other is any
     ends = useful.groupBy("key", "heavy").agg(F.min(F.struct(F.col("at"), F.col("set"), F.col("n"))).alias("_lo"),
                                               F.max(F.struct(F.col("set"), F.col("n"), F.col("at"))).alias("_hi"), F.count(F.lit(1)).alias("_c"))
-    members = cut(useful.join(cut(ends.where("_c > 1").drop("_c")), ["key", "heavy"]))
+    members = stored(useful.join(cut(ends.where("_c > 1").drop("_c")), ["key", "heavy"]))
+    discard(entries, useful)
 
     def worth(n: Column, at: Column, m: Column, at_m: Column) -> Column:
         """Sizes and places leave room for a link; light sets meet in light lists alone."""
@@ -244,30 +307,19 @@ def linked_sets(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
     first = cut(against("_lo").union(against("_hi")).distinct())
     wanted = members.select("set").distinct().join(sets.select("set", F.col("rep").alias("key")), "set")
-    contents = cut(contents_of(docs, wanted))
+    contents = stored(contents_of(docs, wanted))
     release(docs.sparkSession)
     links = cut(confirmed(first, contents, threshold))
     component = connected_components(links)
-    # lists whose members still stand apart
-    placed = (members.select("key", "heavy", "set", "n", "at").join(component.withColumnRenamed("node", "set"), "set", "left")
+    # lists whose members still stand apart; lists of one family mostly share the member of smallest hash
+    placed = (members.select("key", "heavy", "set", "n").join(component.withColumnRenamed("node", "set"), "set", "left")
               .withColumn("component", F.coalesce("component", "set")))
-    apart = placed.groupBy("key", "heavy").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key", "heavy")
-    lists = cut(apart.withColumn("list", F.monotonically_increasing_id()))
-    still = cut(placed.join(lists, ["key", "heavy"]).drop("key"))
-    # a set's remaining lists in the global order; no more than its prefix
-    own = still.groupBy("set", "heavy").agg(F.array_sort(F.collect_list(F.struct("at", "list"))).getField("list").alias("lists"))
-    left = cut(still.join(own, ["set", "heavy"]).join(sets.select("set", "parity"), "set"))
-    other = left.select("list", F.col("set").alias("b"), F.col("n").alias("m"), F.col("at").alias("_at"), F.col("component").alias("_c"),
-                        F.col("parity").alias("_parity"), F.col("lists").alias("_lists"))
-    # shingles in one set alone change a bucket's parity, so differing buckets are a lower bound of their number
-    differ = sum((F.bit_count(F.get("parity", k).bitwiseXOR(F.get("_parity", k))) for k in range(BITS // 64)), F.lit(0))
-    close = differ <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("n") + F.col("m")) + F.lit(1e-9)
-    # two sets that link share their first common shingle within reach of both, so the first common list is the one to look in
-    here = F.get(F.array_intersect("lists", "_lists"), F.lit(0)) == F.col("list")
-    second = (left.withColumnRenamed("set", "a").join(other, "list")
-              .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("_c")) & worth(F.col("n"), F.col("at"), F.col("m"), F.col("_at")) & close & here)
-              .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    apart = (placed.groupBy("key", "heavy").agg(F.min("component").alias("_a"), F.max("component").alias("_b"),
+                                                F.min_by("set", F.xxhash64("set")).alias("anchor")).where("_a <> _b").select("key", "heavy", "anchor"))
+    near = stored(placed.join(apart, ["key", "heavy"]).select("anchor", "set", "n", "component").distinct())
+    second = close_pairs(near, sets, threshold).distinct().join(first, ["a", "b"], "left_anti")
     more = cut(confirmed(second, contents, threshold))
+    discard(members, contents, near)
     return connected_components(links.union(more))
 
 

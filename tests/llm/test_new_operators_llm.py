@@ -275,3 +275,26 @@ def test_jaccard_null_ids_and_families_below_the_threshold(spark):
 
 def test_jaccard_empty(empty):
     assert jaccard.classes(empty).collect() == [] and jaccard.one_each(empty).collect() == []
+
+
+def test_jaccard_close_pairs_over_blocks(spark, monkeypatch):
+    """A family over many blocks: every pair of different components that sizes and parities allow, each found, none twice in a place."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    core = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    content = {}
+    for k in range(90):
+        kept = core[rng.random(60) < rng.choice([0.8, 0.95])]
+        content[k + 1] = np.unique(np.concatenate([kept, rng.integers(1, 1 << 62, int(rng.integers(0, 12))).astype(np.uint64)]))
+
+    def parity(s):
+        odd = np.bincount((s % np.uint64(jaccard.BITS)).astype(np.int64), minlength=jaccard.BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    near = spark.createDataFrame([(a, k, len(s), k % 7) for k, s in content.items() for a in (11, 12)], "anchor long, set long, n int, component long")
+    sets = spark.createDataFrame([(k, parity(s)) for k, s in content.items()], "set long, parity array<long>")
+    got = [(r.a, r.b) for r in jaccard.close_pairs(near, sets, 0.75).collect()]
+    assert len(got) == 2 * len(set(got)) and all(a < b and a % 7 != b % 7 for a, b in got)
+    linked = {(a, b) for a in content for b in content if a < b and a % 7 != b % 7
+              and 100 * len(np.intersect1d(content[a], content[b])) >= 75 * len(np.union1d(content[a], content[b]))}
+    assert linked and linked <= set(got)
+    assert jaccard.close_pairs(near.limit(0), sets, 0.75).collect() == []
