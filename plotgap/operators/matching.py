@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotgap import constants as C
@@ -19,7 +19,7 @@ from plotgap.plans.grid import band_join
 from plotgap.plans.intervals import around_instants
 
 MATCH_TIERS_M = (500.0, 2000.0, 8000.0, 32000.0)
-KUHN_PAIRS = 100_000
+IN_TASK_PAIRS = 100_000
 
 
 def scene_fixes(scenes: DataFrame, reports: DataFrame, window_s: float = C.MATCH_WINDOW_S,
@@ -73,91 +73,109 @@ def candidate_pairs(observations: DataFrame, fixes: DataFrame, k: float = C.K_SI
             .select("scene", "obs_id", "platform_id", "track_seq", "distance_m", "radius_m"))
 
 
-def _kuhn(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Augmenting-path matching of one small component; nearer partners are tried first."""
-    pairs = pairs.sort_values(["obs_id", "distance_m", "track"], kind="stable")
-    options = {o: list(zip(g["track"], g.index)) for o, g in pairs.groupby("obs_id", sort=True)}
-    held: dict[str, tuple[int, int]] = {}
-    for start in options:
-        # depth-first search with an explicit stack of (observation, its remaining options)
-        seen: set[str] = set()
-        stack = [(start, iter(options[start]))]
-        taken: list[tuple[str, int]] = []
-        while stack:
-            obs, rest = stack[-1]
-            step = next(((t, i) for t, i in rest if t not in seen), None)
-            if step is None:
-                stack.pop()
-                if taken:
-                    taken.pop()
+def _start(pairs: pd.DataFrame) -> dict[int, str]:
+    """Mutual nearest partners, as held track by observation."""
+    first = pairs.sort_values(["distance_m", "track"], kind="stable").drop_duplicates("obs_id")
+    return dict(first.sort_values(["distance_m", "obs_id"], kind="stable").drop_duplicates("track")[["obs_id", "track"]].itertuples(index=False))
+
+
+def _settled(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The rule of ``maximum_matching`` on one component, in one task; ``_settled_at_scale`` takes the same steps by joins."""
+    options = {o: list(zip(g["distance_m"], g["track"])) for o, g in pairs.groupby("obs_id", sort=False)}
+    held, relabel = _start(pairs), False
+    while True:
+        owner = {t: o for o, t in held.items()}
+        claim: dict[str, tuple[int, float, int]] = {}  # track: (root, distance, observation)
+        frontier = {o: o for o in options if o not in held}
+        while frontier:
+            offers: dict[str, tuple[int, float, int]] = {}
+            for o, root in frontier.items():
+                for distance, track in options[o]:
+                    if track not in claim or (relabel and root < claim[track][0]):
+                        offers[track] = min(offers.get(track, (root, distance, o)), (root, distance, o))
+            claim.update(offers)
+            frontier = {owner[t]: root for t, (root, _, _) in offers.items() if t in owner}
+        ends: dict[int, tuple] = {}
+        for track, (root, distance, _) in claim.items():
+            if track not in owner:
+                end = (0, distance, track)
+            elif owner[track] > root:
+                end = (1, -owner[track], track)
+            else:
                 continue
-            seen.add(step[0])
-            taken.append(step)
-            owner = held.get(step[0])
-            if owner is None:
-                for (o, _), (t, i) in zip(stack, taken):
-                    held[t] = (o, i)
+            ends[root] = min(ends.get(root, end), end)
+        if not ends:
+            if relabel or not claim:
                 break
-            stack.append((owner[0], iter(options[owner[0]])))
-    return pairs.loc[[i for _, i in held.values()], ["scene", "obs_id", "platform_id", "track_seq", "distance_m", "radius_m"]]
+            relabel = True
+            continue
+        relabel = False
+        for root, (kind, _, track) in ends.items():
+            if kind == 1:
+                del held[owner[track]]
+            while True:
+                o = claim[track][2]
+                track, held[o] = held.get(o), track
+                if o == root:
+                    break
+    chosen = pd.DataFrame({"obs_id": list(held), "track": list(held.values())})
+    return pairs.merge(chosen, on=["obs_id", "track"])[["scene", "obs_id", "platform_id", "track_seq", "distance_m", "radius_m"]]
 
 
 PAIR_SCHEMA = "scene bigint, obs_id bigint, platform_id string, track_seq int, distance_m double, radius_m double"
 
 
-def _augment_at_scale(pairs: DataFrame) -> DataFrame:
-    """Maximum matching of components too large for one task, by rounds of joins.
-
-    Each phase grows vertex-disjoint alternating trees from all free observations at
-    once, and flips one augmenting path per tree that reaches a free track. When no
-    tree reaches one, no augmenting path is left and the matching is maximum.
-    """
+def _settled_at_scale(pairs: DataFrame) -> DataFrame:
+    """The rule of ``maximum_matching`` on components of any size, by rounds of joins; nothing is gathered."""
     ensure_checkpoint_dir(pairs.sparkSession)
     edges = pairs.select("obs_id", "track", "distance_m").checkpoint()
-    nearest = Window.partitionBy("track").orderBy("distance_m", "obs_id")
-    mine = Window.partitionBy("obs_id").orderBy("distance_m", "track")
-    # start greedily: mutual nearest partners
-    start = edges.withColumn("_r", F.row_number().over(mine)).where("_r = 1").withColumn(
-        "_q", F.row_number().over(nearest)).where("_q = 1")
-    matched = start.select("obs_id", "track").checkpoint()
-    while True:  # every phase adds a pair, so there are no more phases than pairs
-        frontier = edges.select("obs_id").distinct().join(matched, "obs_id", "left_anti").select(
-            "obs_id", F.col("obs_id").alias("root"))
-        seen, layers, ends = None, [], None
-        while True:
-            offers = edges.join(frontier, "obs_id")
-            if seen is not None:
-                offers = offers.join(seen, "track", "left_anti")
-            claim = offers.groupBy("track").agg(F.min_by(F.struct("obs_id", "root"), F.struct("distance_m", "obs_id")).alias("c"))
-            claim = claim.select("track", F.col("c.obs_id").alias("obs_id"), F.col("c.root").alias("root")).checkpoint()
-            if claim.isEmpty():
-                break
-            layers.append(claim)
-            free = claim.join(matched.select("track"), "track", "left_anti")
-            ends = free.groupBy("root").agg(F.min("track").alias("track")).checkpoint()
-            if not ends.isEmpty():
+    first = edges.groupBy("obs_id").agg(F.min(F.struct("distance_m", "track")).alias("m")).select("obs_id", "m.*")
+    held = first.groupBy("track").agg(F.min(F.struct("distance_m", "obs_id")).alias("m")).select(F.col("m.obs_id").alias("obs_id"), "track").checkpoint()
+    relabel = False
+    while True:  # every phase adds a pair or moves one to an earlier observation
+        frontier = edges.select("obs_id").distinct().join(held, "obs_id", "left_anti").select("obs_id", F.col("obs_id").alias("root")).checkpoint()
+        claim = None
+        while not frontier.isEmpty():
+            offers = (edges.join(frontier, "obs_id").groupBy("track")
+                      .agg(F.min(F.struct("root", "distance_m", "obs_id")).alias("m")).select("track", "m.*"))
+            if claim is not None:
+                old = claim.select("track", F.col("root").alias("_root"))
+                offers = offers.join(old, "track", "left").where("_root IS NULL OR root < _root" if relabel else "_root IS NULL").drop("_root")
+            offers = offers.checkpoint()
+            claim = offers if claim is None else claim.join(offers, "track", "left_anti").unionByName(offers).checkpoint()
+            frontier = offers.join(held.withColumnRenamed("obs_id", "next"), "track").select(F.col("next").alias("obs_id"), "root").checkpoint()
+        if claim is None:
+            break
+        reached = claim.join(held.withColumnRenamed("obs_id", "owner"), "track", "left").where("owner IS NULL OR owner > root")
+        rank = F.struct(F.col("owner").isNotNull().cast("int").alias("kind"), F.when(F.col("owner").isNull(), F.col("distance_m")).alias("near"),
+                        (-F.col("owner")).alias("late"), F.col("track"))
+        ends = reached.groupBy("root").agg(F.min(rank).alias("m")).select("m.track").checkpoint()
+        if ends.isEmpty():
+            if relabel:
                 break
-            seen = claim.select("track") if seen is None else seen.union(claim.select("track")).checkpoint()
-            frontier = claim.join(matched.withColumnRenamed("obs_id", "next"), "track").select(
-                F.col("next").alias("obs_id"), "root")
-        if ends is None or ends.isEmpty():
-            return pairs.join(matched, ["obs_id", "track"], "left_semi")
-        at, flips = ends.select("track"), None
-        for claim in reversed(layers):
-            step = claim.join(at, "track", "left_semi").select("obs_id", "track")
-            flips = step if flips is None else flips.union(step)
-            at = step.select("obs_id").join(matched, "obs_id").select("track")
-        flips = flips.checkpoint()
-        matched = matched.join(flips, "obs_id", "left_anti").unionByName(flips).checkpoint()
-
-
-def maximum_matching(pairs: DataFrame, kuhn_pairs: int = KUHN_PAIRS) -> DataFrame:
-    """Largest set of pairs using every observation and every track at most once.
-
-    Mutually exclusive pairs are taken as they are. Contested ones are split into
-    connected components: small components are solved one per group in observation
-    order, nearest first; larger ones by distributed augmentation, so no group is
-    ever gathered without a bound.
+            relabel = True
+            continue
+        relabel = False
+        at, taken = ends, None
+        while not at.isEmpty():
+            step = claim.join(at, "track", "left_semi").select("obs_id", "track").checkpoint()
+            taken = step if taken is None else taken.unionByName(step).checkpoint()
+            at = step.select("obs_id").join(held, "obs_id").select("track").checkpoint()
+        held = (held.join(taken, "obs_id", "left_anti").join(taken, "track", "left_anti").select("obs_id", "track").unionByName(taken).checkpoint())
+    return pairs.join(held, ["obs_id", "track"], "left_semi")
+
+
+def maximum_matching(pairs: DataFrame, in_task_pairs: int = IN_TASK_PAIRS) -> DataFrame:
+    """Largest set of pairs using every observation and every track at most once, by one rule for any size.
+
+    Mutual nearest partners start. In each phase every open observation grows a tree over alternating ways; a track goes to the
+    tree that reaches it in the fewest steps, then to the smallest open obs_id, then to the nearer observation. A tree that reaches
+    an open track extends the matching to its nearest one; otherwise it takes the place of the largest later observation in it.
+    When no tree has either, a track goes to the smallest open obs_id that can reach it at all, and the phases end when that
+    gives nothing too. So the matching is as large as can be, and the observations left over are those left when they are
+    taken one by one in order of obs_id.
+    Mutually exclusive pairs are taken as they are. Contested ones are split into connected components, which do not
+    affect each other: ``in_task_pairs`` only decides where a component is worked, in one task or by joins, never its result.
     """
     pairs = pairs.withColumn("track", F.concat_ws("|", "scene", "platform_id", "track_seq"))
     ensure_checkpoint_dir(pairs.sparkSession)
@@ -173,13 +191,13 @@ def maximum_matching(pairs: DataFrame, kuhn_pairs: int = KUHN_PAIRS) -> DataFram
     tagged = contested.join(comp.select(F.col("node").alias("_node"), "component"),
                             F.concat(F.lit("o"), F.col("obs_id").cast("string")) == F.col("_node")).drop("_node")
     sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    tagged = tagged.join(sizes, "component")
-    small = (tagged.where(F.col("_size") <= kuhn_pairs).select("component", "track", *cols)
-             .groupBy("component").applyInPandas(_kuhn, PAIR_SCHEMA))
-    large = tagged.where(F.col("_size") > kuhn_pairs)
+    tagged = tagged.join(sizes, "component").checkpoint()
+    small = (tagged.where(F.col("_size") <= in_task_pairs).select("component", "track", *cols)
+             .groupBy("component").applyInPandas(_settled, PAIR_SCHEMA))
+    large = tagged.where(F.col("_size") > in_task_pairs)
     out = sole.select(*cols).unionByName(small)
     if not large.isEmpty():
-        out = out.unionByName(_augment_at_scale(large).select(*cols))
+        out = out.unionByName(_settled_at_scale(large).select(*cols))
     return out
 
 

@@ -54,11 +54,60 @@ def test_matching_is_maximum_in_one_task_and_at_scale(spark, limit):
     rng = random.Random(8)
     edges = {(rng.randrange(30), rng.randrange(26)) for _ in range(70)}
     rows = [(1, o, f"T{t:02d}", 1, float(rng.randrange(100)), 99.0) for o, t in sorted(edges)]
-    got = M.maximum_matching(spark.createDataFrame(rows, PAIRS), kuhn_pairs=limit).collect()
+    got = M.maximum_matching(spark.createDataFrame(rows, PAIRS), in_task_pairs=limit).collect()
     assert len(got) == brute_matching(edges)
     assert len({r["obs_id"] for r in got}) == len({r["platform_id"] for r in got}) == len(got)
 
 
+def one_by_one(edges):
+    """Observations matched when they are taken in order, each making room by an augmenting path."""
+    options, owner = {}, {}
+    for o, t in sorted(edges):
+        options.setdefault(o, []).append(t)
+
+    def grow(start):
+        came, queue = {}, [start]
+        for o in queue:
+            for t in options[o]:
+                if t not in came:
+                    came[t] = o
+                    if t in owner:
+                        queue.append(owner[t])
+                        continue
+                    while t is not None:
+                        o = came[t]
+                        lost = next((x for x, w in owner.items() if w == o), None)
+                        owner[t] = o
+                        if lost is not None:
+                            del owner[lost]
+                        t = lost if o != start else None
+                    return True
+        return False
+    return {o for o in sorted(options) if grow(o)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matching_is_the_same_in_one_task_and_by_joins(spark, seed):
+    """Equal pairs either way, ties in distance included, and the observations that one-by-one matching keeps."""
+    rng = random.Random(seed)
+    edges = {(rng.randrange(60), rng.randrange(45)) for _ in range(120)}
+    rows = [(1, o, f"T{t:02d}", 1, float(rng.randrange(12)), 99.0) for o, t in sorted(edges)]
+    df = spark.createDataFrame(rows, PAIRS)
+    task, joins = (sorted(map(tuple, M.maximum_matching(df, in_task_pairs=n).collect())) for n in (100_000, 0))
+    assert task == joins and len(task) == brute_matching(edges) and {r[1] for r in task} == one_by_one(edges)
+
+
+def test_matching_of_a_component_over_the_task_size(spark):
+    """One connected component of more pairs than a task takes by default equals the same component worked in one task."""
+    n, rng = 2_600, random.Random(4)
+    rows = [(1, o, f"T{t:05d}", 1, float(rng.randrange(9973)), 99_999.0) for o in range(n) for t in rng.sample(range(4_000), 40)]
+    df = spark.createDataFrame(rows, PAIRS)
+    assert len(rows) > M.IN_TASK_PAIRS
+    large = sorted(map(tuple, M.maximum_matching(df).collect()))
+    task = sorted(map(tuple, M.maximum_matching(df, in_task_pairs=1_000_000).collect()))
+    assert large == task and len(large) == n
+
+
 def brute_sites(rows, radius=300.0):
     sites, out = [], {}
     for i, lat, lon in rows:
