@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 SECTION: dict[str, str] = {}
 SECTIONS = ["functions_q", "tracks_q", "coverage_q", "matching_q", "statistics_q", "air_q", "land_q", "labels_q",
             "raster_q", "sources_q", "streaming_q", "spacetime_q",
-            "behaviour_q"]
+            "behaviour_q", "queue_q"]
 
 
 def query(name: str, sql: str | None = None):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plotgap.catalog import query
 from plotgap.catalog.functions_q import _subtype_sql
-from plotgap.catalog.land_q import PL, SPD, polls
+from plotgap.catalog.land_q import FEED_ZONES, PL, SPD, ZONE, polls
 from plotgap.catalog.sources_q import EPOCH, scratch
 from plotgap.operators import uptime as U
 from plotgap.streaming import jobs as J
@@ -114,6 +114,32 @@ def cell_hour_stream(t):
     return kept.join(late, "feed_id", "left").select("feed_id", "n_kept", F.coalesce("n_late", F.lit(0)).cast("int").alias("n_late"))
 
 
+CLOSED = f"""{ARRIVING}, g0 AS (SELECT *, 864000+((pt+vehicle_ts)//2)*40 AS ck, (SELECT max(arrival)+1 FROM p1 WHERE reason='pairs') AS top FROM p1 WHERE reason='pairs'),
+ g1 AS (SELECT *, ck-CASE WHEN arrival%53=0 THEN 172800 ELSE 0 END AS ms, {'+'.join(f'CAST(arrival>=top*{i}//4 AS INTEGER)' for i in (1, 2, 3))} AS b FROM g0),
+ cu AS (SELECT b, max(CAST(make_timestamp((m-50400)*1000000) AS DATE)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM (SELECT b, max(ck) AS m FROM g1 GROUP BY 1)),
+ g2 AS (SELECT *, timezone({ZONE}, make_timestamptz(ms*1000000)) AS lt, CAST(floor((pa+lat)/2/0.00225e0) AS BIGINT) AS cell_row FROM g1 JOIN cu USING (b) WHERE feed_id<>'F5'),
+ g3 AS (SELECT *, CAST(floor((po+lon)/2*cos(radians((cell_row+0.5e0)*0.00225e0))/0.00225e0) AS BIGINT) AS cell_col, CAST(lt AS DATE) AS local_date, least(120, floor(v/0.5e0)) AS bin, coalesce(CAST(lt AS DATE)<cut, false) AS late FROM g2)"""
+
+
+@query("cell_hours_closed", f"""WITH {CLOSED} SELECT cell_row, cell_col, CAST(local_date AS VARCHAR) AS local_date, CAST(hour(lt) AS INTEGER) AS local_hour, count(*) AS n_pairs, count(DISTINCT feed_id || '/' || vehicle_key) AS n_vehicles,
+    array_to_string(list_sort(list_distinct(list(feed_id))), ',') AS feeds, (list_sort(list(bin))[CAST(floor(0.5e0*(count(*)-1)) AS BIGINT)+1]+0.5e0)*0.5e0 AS median_mps, (SELECT count(*) FROM g3 WHERE late) AS n_late
+    FROM g3 WHERE NOT late GROUP BY 1, 2, 3, 4""")
+def cell_hours_closed(t):
+    """Two streams: fixes to pairs, pairs to closed dates. The clock is stretched to three days and some pairs are held back by two."""
+    f = t.fixes.select("arrival", "feed_id", "vehicle_key", "vehicle_ts", "lat", "lon", "trip_id")
+    good = drained(t, J.speed_pair_stream(staged(t, f, "arrival"))).where("reason = 'pairs'")
+    clock = 864000 + F.col("mid_s") * 40
+    good = good.select("arrival", "feed_id", "vehicle_key", "mid_lat", "mid_lon", "speed_mps", clock.alias("clock_s"),
+                       (clock - F.when(F.col("arrival") % 53 == 0, 172800).otherwise(0)).alias("mid_s"))
+    out = scratch(t, "closed")
+    (staged(t, good, "arrival", 4).writeStream.option("checkpointLocation", scratch(t, "ck")).trigger(availableNow=True)
+     .foreachBatch(J.cell_hour_closer(out, FEED_ZONES)).start().awaitTermination())
+    J.close_rest(t.spark, out, FEED_ZONES)
+    late = t.spark.read.parquet(f"{out}/late").agg(F.count(F.lit(1)).alias("n_late"))
+    return t.spark.read.parquet(f"{out}/cells").join(F.broadcast(late)).select(
+        "cell_row", "cell_col", F.col("local_date").cast("string").alias("local_date"), "local_hour", "n_pairs", "n_vehicles", "feeds", "median_mps", "n_late")
+
+
 @query("new_fix_stream", f"WITH {PL} SELECT arrival, is_new FROM nf")
 def new_fix_stream(t):
     return drained(t, J.new_fix_stream(staged(t, polls(t), "poll_no")))

@@ -74,9 +74,15 @@ def exclusion_ledger(excluded: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def cell_hours(pairs: DataFrame, zones: dict[str, str]) -> DataFrame:
     """Midpoint cell x local date x hour: pairs, vehicles, feeds and bin-centre quantiles of speed."""
-    good = pairs.where("reason = 'pairs'").withColumn("_s", F.floor((F.col("prev_vehicle_ts") + F.col("vehicle_ts")) / 2))
-    timed = local_wall_time(good, "_s", zones)
-    cell = cosine_cell((F.col("prev_lat") + F.col("lat")) / 2, (F.col("prev_lon") + F.col("lon")) / 2, C.ROAD_CELL_DEG)
+    middle = {"mid_s": F.floor((F.col("prev_vehicle_ts") + F.col("vehicle_ts")) / 2), "mid_lat": (F.col("prev_lat") + F.col("lat")) / 2,
+              "mid_lon": (F.col("prev_lon") + F.col("lon")) / 2}
+    return midpoint_cell_hours(pairs.where("reason = 'pairs'").select(*KEYS, "speed_mps", *[v.alias(k) for k, v in middle.items()]), zones)
+
+
+def midpoint_cell_hours(good: DataFrame, zones: dict[str, str]) -> DataFrame:
+    """Cell-hours of pairs that are known by their midpoint (mid_s, mid_lat, mid_lon) and speed."""
+    timed = local_wall_time(good, "mid_s", zones)
+    cell = cosine_cell(F.col("mid_lat"), F.col("mid_lon"), C.ROAD_CELL_DEG)
     rows = timed.select(cell["row"].alias("cell_row"), cell["col"].alias("cell_col"), F.to_date("local_time").alias("local_date"),
                         F.hour("local_time").alias("local_hour"), *KEYS,
                         F.least(F.lit(C.ROAD_BINS - 1), F.floor(F.col("speed_mps") / C.ROAD_BIN_MPS)).alias("bin"))

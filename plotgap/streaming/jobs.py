@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from plotgap import constants as C
 from plotgap.functions.classes import vessel_subtype
+from plotgap.operators.land import KEYS, local_wall_time, midpoint_cell_hours
 from plotgap.plans.sequence import chunk_of, running
 from plotgap.sources.sinks import hour_label
 from plotgap.streaming.stateful import keyed_fold
@@ -201,6 +202,58 @@ def cell_hour_batches(out: str, seconds: str = "mid_s", clock: str = "mid_s") ->
     return write
 
 
+OPEN = "feed_id string, vehicle_key string, mid_s bigint, mid_lat double, mid_lon double, speed_mps double, local_date date, batch bigint"
+CUTOFF = "cutoff date, batch bigint"
+
+
+def _last_cutoff(spark: SparkSession, out: str, before: int | None = None):
+    """The date up to which everything is closed, or None; batches count from zero."""
+    if before == 0:
+        return None
+    cuts = spark.read.schema(CUTOFF).parquet(f"{out}/cutoff")
+    return (cuts if before is None else cuts.where(F.col("batch") < before)).agg(F.max("cutoff")).first()[0]
+
+
+def _waiting(spark: SparkSession, out: str, since, until=None) -> DataFrame:
+    """Pairs of the open dates in [since, until); only those dates' folders are read."""
+    rows = spark.read.schema(OPEN).parquet(f"{out}/open")
+    rows = rows if since is None else rows.where(F.col("local_date") >= F.lit(since))
+    return rows if until is None else rows.where(F.col("local_date") < F.lit(until))
+
+
+def cell_hour_closer(out: str, zones: dict[str, str], clock: str = "clock_s", lag_s: int = C.FLUSH_LAG_H * 3600) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that turns a local date into cell-hours once the stream's clock is ``lag_s`` past its end.
+
+    Batches hold (feed_id, vehicle_key, mid_s, mid_lat, mid_lon, speed_mps, clock). Pairs of open dates wait in ``out/open``, one
+    folder for each batch and date. The cell-hours of the dates that a batch closes go to ``out/cells``; pairs of a date closed
+    before their batch go to ``out/late`` as they are, never merged and never lost. A batch writes only folders of its own number,
+    its cut-off last, so one that fails half-way is repeated without a trace. The state is these tables: no date, cell or vehicle
+    is held in a task.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cut = _last_cutoff(spark, out, batch_id)
+        batch = batch.persist()
+        rows = (local_wall_time(batch, "mid_s", zones).withColumn("local_date", F.to_date("local_time"))
+                .select(*KEYS, "mid_s", "mid_lat", "mid_lon", "speed_mps", "local_date"))
+        late = F.lit(False) if cut is None else F.col("local_date") < F.lit(cut)
+        rows.where(~late).repartition("local_date", F.pmod(F.xxhash64(*KEYS), F.lit(8))).write.mode("overwrite").partitionBy("local_date").parquet(f"{out}/open/batch={batch_id}")
+        rows.where(late).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        reached = batch.agg(F.date_from_unix_date(F.floor((F.max(clock) - lag_s) / 86400).cast("int")).alias("d")).first()[0]
+        batch.unpersist()
+        now = max((d for d in (cut, reached) if d is not None), default=None)
+        if now is not None and now != cut:
+            done = _waiting(spark, out, cut, now).where(F.col("batch") <= batch_id)
+            midpoint_cell_hours(done, zones).write.mode("overwrite").parquet(f"{out}/cells/batch={batch_id}")
+        spark.createDataFrame([(now,)], "cutoff date").write.mode("overwrite").parquet(f"{out}/cutoff/batch={batch_id}")
+    return write
+
+
+def close_rest(spark: SparkSession, out: str, zones: dict[str, str]) -> None:
+    """Close the dates still open when a stream has ended; repeating it replaces the same folder."""
+    midpoint_cell_hours(_waiting(spark, out, _last_cutoff(spark, out)), zones).write.mode("overwrite").parquet(f"{out}/cells/batch=-1")
+
+
 def new_fix_stream(polls: DataFrame) -> DataFrame:
     """Mark fixes that differ from the vehicle's fix in the feed's previous poll."""
     def step(state, row):
