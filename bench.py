@@ -14,7 +14,8 @@ HEADLINE = ["sessionise_tracks", "track_summary", "impossible_speed", "identity_
             "exclusion_ledger", "cell_hours", "slow_anomalies", "band_counts", "air_units", "difference_in_differences", "clutter_ring_stats", "cluster_pixels",
             "maximum_matching", "cluster_sites", "cycle_summary", "gate_cost", "shift_null", "scattered_null",
             "vessel_classifier", "corrected_ratios", "dossier_strength", "limit_report",
-            "nearest_line", "coverage_gaps", "traffic_exposure", "event_cube", "gi_star", "emerging_hotspots", "loiter", "rendezvous", "orbit_features"]
+            "nearest_line", "coverage_gaps", "traffic_exposure", "event_cube", "gi_star", "emerging_hotspots", "loiter", "rendezvous", "orbit_features",
+            "rank_candidates", "cross_domain"]
 
 
 def main() -> None:
