@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotgap.functions.classes import one_decimal
 from plotgap.plans.intervals import containing
 from plotgap.plans.sequence import HOUR_US
 
@@ -75,7 +76,7 @@ def volume_agreement(n_files, polls_returned, expected: float = 10.0, tolerance:
     """Null when polls per file agree with the expected rate, else a sentence."""
     ratio = polls_returned / F.nullif(n_files.cast("double"), F.lit(0.0))
     ok = ratio.isNull() | (polls_returned == 0) | ratio.between(expected * (1 - tolerance), expected * (1 + tolerance))
-    return F.when(~ok, F.concat(F.lit("archive and heartbeats disagree: "), F.format_number(ratio, 1),
+    return F.when(~ok, F.concat(F.lit("archive and heartbeats disagree: "), one_decimal(ratio),
                                 F.lit(f" polls per file where {expected:.0f} is expected")))
 
 
