@@ -38,3 +38,41 @@ def test_agencies_beyond_the_decision_table_are_undecided(spark, tmp_path):
     e.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:01'")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["feed_id"]: r["status"] for r in load()[0]["same_agency_dedupe"](spark, str(tmp_path)).collect()}
     assert got == {14997: "kept", 15003: "UNDECIDED", 15004: "UNDECIDED", 14994: "kept", 14995: "duplicate of the kept feed"}
+
+
+def _near_case(spark):
+    rng = random.Random(5)
+    spot = [(rng.uniform(36.9, 37.1), rng.uniform(-75.1, -74.9)) for _ in range(40)]
+    seen = [(i, *spot[i % 40], 1_800_000_000 + 3_600_000_000 * (i % 3)) for i in range(60)] + [(900, 36.0, -76.0, 1_800_000_000)]
+    told = [(i, f"P{i % 7}", 36.95 + rng.gauss(0, 0.004), -75.0 + rng.gauss(0, 0.004), rng.randrange(10_800_000_001)) for i in range(3000)]
+    told += [(5000 + i, "Q", *spot[0], 1_800_000_000 * i) for i in range(7)]
+    return (spark.createDataFrame(seen, "obs_id bigint, lat double, lon double, t bigint"),
+            spark.createDataFrame(told, "event_id bigint, platform_id string, lat double, lon double, t_us bigint"), seen, told)
+
+
+def test_nearest_report_widens_its_search_and_stays_exact(spark, monkeypatch):
+    import math
+
+    from plotgap.constants import EARTH_RADIUS_M
+    from plotgap.operators import matching as M
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(h))
+    detections, reports, seen, told = _near_case(spark)
+    want = {}
+    for o, la, lo, t in seen:
+        near = [(metres(la, lo, x, y), e) for e, _, x, y, s in told if abs(s - t) <= 1_800_000_000]
+        if near and min(near)[0] <= 10_000:
+            want[o] = min(near)[1]
+    looked, join = [], M.band_join
+
+    def counted(*args, **kw):
+        looked.append(join(*args, **kw))
+        return looked[-1]
+    monkeypatch.setattr(M, "band_join", counted)
+    got = M.nearest_report(detections, reports, "t").collect()
+    assert {r["obs_id"]: r["report_id"] for r in got} == want and len(got) == len(want)
+    every = join(detections.withColumn("_b", F.lit(0)), reports.select("event_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.lit(0).alias("_b")),
+                 ("lat", "lon"), ("r_lat", "r_lon"), F.lit(10_000.0), (10_000.0,), equal=["_b"]).count()
+    assert len(looked) > 1 and looked[0].count() < every / 4  # one wide search looks at about all
