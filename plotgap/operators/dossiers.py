@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotgap.plans.reuse import pin
+
 
 def dossier_strength(candidates: DataFrame, nearest_report: DataFrame, nearest_site: DataFrame, p_vessel: DataFrame | None = None,
                      isolation_radii: float = 20.0) -> DataFrame:
@@ -30,6 +32,7 @@ def dossier_strength(candidates: DataFrame, nearest_report: DataFrame, nearest_s
 
 def ranking_bias(dossiers: DataFrame, top: int = 100) -> DataFrame:
     """Band mix of the top of the ranking against the rest, with Pearson's r of strength and distance."""
+    dossiers = pin(dossiers.select("obs_id", "strength", "band", "nm"))
     head = dossiers.orderBy(F.desc("strength"), "obs_id").limit(top).select("obs_id").withColumn("_top", F.lit("top"))
     rows = dossiers.join(F.broadcast(head), "obs_id", "left").withColumn("part", F.coalesce("_top", F.lit("rest")))
     mix = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("band") == b).cast("int")).alias(c) for b, c in
@@ -40,7 +43,7 @@ def ranking_bias(dossiers: DataFrame, top: int = 100) -> DataFrame:
 
 def dossier_listing(dossiers: DataFrame, min_strength: float, reception: list[str], offset: int, limit: int) -> DataFrame:
     """One page of the filtered list with the number of hits."""
-    hit = dossiers.where((F.col("strength") >= min_strength) & F.col("reception").isin(reception))
+    hit = pin(dossiers.where((F.col("strength") >= min_strength) & F.col("reception").isin(reception)))
     total = hit.agg(F.count(F.lit(1)).alias("n_hits"))
     return hit.orderBy(F.desc("strength"), "obs_id").offset(offset).limit(limit).join(F.broadcast(total))
 
