@@ -4,6 +4,7 @@ import struct
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -150,23 +151,24 @@ def _part(number, body):
 def _encode(batches):
     """Bodies of GTFS-realtime messages from fix rows (fixture only)."""
     for b in batches:
-        out = []
-        for feed, at, arr in zip(b["feed_id"], b["fetched_at"], b["rows"]):
-            body = _part(1, _varint(3 << 3) + _varint(int(at)))
-            for r in arr:
-                pos = b"" if r["k"] % 9 == 0 else _part(2, struct.pack("<BfBf", 13, r["lat"], 21, r["lon"]))
-                veh = b"" if r["key"].startswith("entity:") else _part(8, _part(1, r["key"].encode()))
-                ts = b"" if r["ts"] is None else _varint(5 << 3) + _varint(int(r["ts"]))
-                body += _part(2, _part(1, str(r["k"]).encode()) + _part(4, pos + ts + veh))
-            out.append((feed, at, body))
-        yield pd.DataFrame(out, columns=["feed_id", "fetched_at", "body"])
+        for lo in range(0, b.num_rows, 64):  # a few bodies at a time become Python objects
+            some, out = b.slice(lo, 64), []
+            for arr, at in zip(some.column("rows"), some.column("fetched_at").to_pylist()):
+                body = _part(1, _varint(3 << 3) + _varint(int(at)))
+                for r in arr.as_py():
+                    pos = b"" if r["k"] % 9 == 0 else _part(2, struct.pack("<BfBf", 13, r["lat"], 21, r["lon"]))
+                    veh = b"" if r["key"].startswith("entity:") else _part(8, _part(1, r["key"].encode()))
+                    ts = b"" if r["ts"] is None else _varint(5 << 3) + _varint(int(r["ts"]))
+                    body += _part(2, _part(1, str(r["k"]).encode()) + _part(4, pos + ts + veh))
+                out.append(body)
+            yield pa.RecordBatch.from_arrays([some.column("feed_id"), some.column("fetched_at"), pa.array(out, pa.binary())], ["feed_id", "fetched_at", "body"])
 
 
 @query("gtfsrt_positions", "SELECT feed_id, vehicle_key, count(*) AS n, CAST(sum(vehicle_ts) AS BIGINT) AS ts, round(sum(lat), 2) AS lat FROM (SELECT feed_id, CASE WHEN vehicle_key LIKE 'entity:%' THEN 'entity:' || arrival ELSE vehicle_key END AS vehicle_key, vehicle_ts, CAST(CAST(lat AS FLOAT) AS DOUBLE) AS lat FROM fixes WHERE arrival%9<>0) GROUP BY 1, 2")
 def gtfsrt_positions(t):
     one = F.struct(F.col("arrival").alias("k"), F.col("vehicle_key").alias("key"), F.col("vehicle_ts").alias("ts"), "lat", "lon")
     grouped = t.fixes.groupBy("feed_id", F.expr("arrival div 300").alias("fetched_at")).agg(F.collect_list(one).alias("rows"))
-    placed, _ = P.gtfsrt_positions(grouped.mapInPandas(_encode, "feed_id string, fetched_at bigint, body binary"))
+    placed, _ = P.gtfsrt_positions(grouped.mapInArrow(_encode, "feed_id string, fetched_at bigint, body binary"))
     return placed.groupBy("feed_id", "vehicle_key").agg(F.count(F.lit(1)).alias("n"), F.sum("vehicle_ts").alias("ts"), F.round(F.sum("lat"), 2).alias("lat"))
 
 

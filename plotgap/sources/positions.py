@@ -197,6 +197,8 @@ def _fields(buf: memoryview) -> Iterator[tuple[int, int, object]]:
         yield number, wire, value
 
 
+#: Decoded entities held at once, whatever the number of bodies in an Arrow batch.
+DECODED_ROWS = 5_000
 VEHICLE_COLUMNS = ("feed_id string, fetched_at bigint, entity_id string, vehicle_id string, label string, trip_id string, route_id string, lat double, lon double, "
                    "bearing double, speed double, vehicle_ts bigint, header_ts bigint")
 
@@ -234,13 +236,17 @@ def gtfsrt_positions(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in VEHICLE_COLUMNS.split(", ")]
+        def frame(rows):
+            return pd.DataFrame(rows, columns=names).astype({"vehicle_ts": "Int64", "header_ts": "Int64"})
+        rows = []
         for b in batches:
-            rows = []
             for feed, fetched, body in zip(b["feed_id"], b["fetched_at"], b["body"]):
                 got, header = _decode_feed(body)
                 rows += [{**r, "feed_id": feed, "fetched_at": fetched, "header_ts": header} for r in got]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"vehicle_ts": "Int64", "header_ts": "Int64"})
+                if len(rows) >= DECODED_ROWS:
+                    yield frame(rows)
+                    rows = []
+        yield frame(rows)
     rows = bodies.select("feed_id", "fetched_at", "body").mapInPandas(decode, VEHICLE_COLUMNS)
     key = F.when(F.col("vehicle_id") != "", F.col("vehicle_id")).otherwise(F.concat(F.lit("entity:"), F.col("entity_id")))
     placed = rows.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("vehicle_key", key)
