@@ -102,6 +102,11 @@ def _micro(p: Column) -> Column:
     return F.when(ok, F.struct(lon.alias("lon"), lat.alias("lat")))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column as a generated one, so that neither filters nor projections above work it out again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def road_event_feed(messages: DataFrame, now_s: int, xml: str = "xml") -> tuple[DataFrame, DataFrame]:
     """(current road events, counts) from one XML full-event-update per row.
 
@@ -109,7 +114,7 @@ def road_event_feed(messages: DataFrame, now_s: int, xml: str = "xml") -> tuple[
     stated, updated the latest, end the latest or start (or update) plus the duration.
     """
     doc = F.from_xml(xml, FEU_SCHEMA, {"ignoreNamespace": "true"})
-    e = messages.withColumn("e", doc)
+    e = _once(messages, "e", doc)
     details = F.coalesce(F.col("e.details.detail"), F.array().cast(FEU_SCHEMA["details"].dataType["detail"].dataType))
     statuses = F.transform(F.col("e")["event-indicators"]["event-indicator"], lambda i: F.lower(i["status"]))
     up, st = F.transform(details, lambda d: _when(d["times"]["update-time"])), F.transform(details, lambda d: _when(d["times"]["start-time"]))
@@ -126,9 +131,9 @@ def road_event_feed(messages: DataFrame, now_s: int, xml: str = "xml") -> tuple[
     for k, v in reversed(KIND_OF_TYPE.items()):
         has = F.col("e")["headline"]["headline"][k].isNotNull()
         kind, typ = F.when(has, v).otherwise(kind), F.when(has, k).otherwise(typ)
-    rows = e.select("feed", "seq", F.nullif(F.col("e")["event-reference"]["event-id"], F.lit("")).alias("id"), kind.alias("kind"), typ.alias("type"), place.alias("place"),
+    rows = _once(e, "r", F.struct("feed", "seq", F.nullif(F.col("e")["event-reference"]["event-id"], F.lit("")).alias("id"), kind.alias("kind"), typ.alias("type"), place.alias("place"),
                     F.array_min(st).alias("start_s"), F.array_max(F.transform(details, end_of)).alias("end_s"), F.array_max(up).alias("updated_s"),
-                    F.coalesce(F.array_contains(statuses, "ended"), F.lit(False)).alias("ended"))
+                    F.coalesce(F.array_contains(statuses, "ended"), F.lit(False)).alias("ended"))).select("r.*")
     keep = ~F.col("ended") & F.col("place").isNotNull() & (F.col("end_s").isNull() | (F.col("end_s") >= now_s))
     current = rows.where(keep).withColumn("id", F.coalesce("id", F.concat_ws("-", "feed", "seq")))
     rest = ["seq", "kind", "type", "place", "start_s", "end_s", "updated_s"]
