@@ -20,17 +20,21 @@ def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], out
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
         held = state.get if state.exists else None
+        rows = [row for batch in batches for row in zip(*[batch[c].tolist() for c in wanted])]
+        rows.sort(key=lambda row: row[n:])
         out = []
-        for row in rows[list(columns)].itertuples(index=False, name=None):
-            held, emitted = step(held, tuple(None if pd.isna(v) else v for v in row))
+        for row in rows:  # plain tuples: with many keys of few rows, data frames cost more than the work itself
+            held, emitted = step(held, tuple([None if v != v else v for v in row[:n]]))
             out.append(emitted)
         if held is not None:
             state.update(tuple(held))
         if forget_s is not None:
             state.setTimeoutDuration(int(forget_s * 1000))
-        names = [f.strip().split()[0] for f in out_schema.split(",")]
-        yield pd.DataFrame(out, columns=names).convert_dtypes()
+        values = [[None if v is None else int(v) for v in column] if whole else column for whole, column in zip(wholes, zip(*out))]
+        yield pd.DataFrame(dict(zip(names, values)), dtype=object)
+    names, types = zip(*[f.split() for f in out_schema.split(",")])
+    wholes, n = [kind in ("bigint", "int") for kind in types], len(columns)
+    wanted = [*columns, *order]
     timeout = GroupStateTimeout.NoTimeout if forget_s is None else GroupStateTimeout.ProcessingTimeTimeout
     return stream.groupBy(*keys).applyInPandasWithState(fold, out_schema, state_schema, "append", timeout)
