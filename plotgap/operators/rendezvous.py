@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotgap import constants as C
 from plotgap.functions.geo import M_PER_DEG, cell_index
+from plotgap.plans.reuse import pin
 from plotgap.plans.sequence import HOUR_US, chunk_of, with_previous
 
 US = 1_000_000
@@ -29,19 +30,23 @@ def motion_pieces(reports: DataFrame, slot_us: int, max_gap_s: float) -> DataFra
 def contacts(pieces: DataFrame, max_separation_m: float, cell_deg: float, hot_rows: int) -> DataFrame:
     """(a, b, from_us, to_us, min_m): the times within which two pieces of one slot are close enough.
 
-    A piece goes to the cells that its box, widened by half the separation, touches; a pair is looked at only in the cell
-    that holds the lower corner of the two boxes' common part. Cells with more than ``hot_rows`` pieces, such as a harbour, are
+    A piece goes to the cells that its box, widened by half the separation, touches, and to the moments it lasts through, four
+    times as long as the average piece; a pair is looked at only in the cell that holds the lower corner of the two boxes' common part
+    and in the moment when its later piece begins. So pairs follow the pieces, however many one slot holds. Cells with more than ``hot_rows`` pieces, such as a harbour, are
     cut by a hash: one side is dealt over the parts, the other goes to each. The least distance and the times of coming within
     reach are those of two points in straight motion, in closed form.
     """
+    pieces = pin(pieces)
+    moment = max(1, int(4 * (pieces.agg(F.avg(F.col("e") - F.col("s"))).first()[0] or 1)))
     half = max_separation_m / 2 / M_PER_DEG
     lat = F.greatest(F.abs(F.col("lat_s")), F.abs(F.col("lat_e")))
     wide = half / F.greatest(F.cos(F.radians(lat)), F.lit(0.01)) * 1.01  # the separation is judged at the pair's own latitude
     box = pieces.select("*", (F.least("lon_s", "lon_e") - wide).alias("x0"), (F.greatest("lon_s", "lon_e") + wide).alias("x1"),
                         (F.least("lat_s", "lat_e") - half * 1.01).alias("y0"), (F.greatest("lat_s", "lat_e") + half * 1.01).alias("y1"))
     spread = (box.withColumn("c", F.explode(F.sequence(cell_index("x0", cell_deg), cell_index("x1", cell_deg))))
-              .withColumn("r", F.explode(F.sequence(cell_index("y0", cell_deg), cell_index("y1", cell_deg)))))
-    keys = ["slot", "c", "r"]
+              .withColumn("r", F.explode(F.sequence(cell_index("y0", cell_deg), cell_index("y1", cell_deg))))
+              .withColumn("w", F.explode(F.sequence(F.expr(f"s div {moment}"), F.expr(f"(e - 1) div {moment}")))))
+    keys = ["slot", "w", "c", "r"]
     hot = (spread.groupBy(*keys).count().where(F.col("count") > hot_rows)
            .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_parts")))  # rows / hot_rows entries at most
     parts = F.coalesce("_parts", F.lit(1))
@@ -52,7 +57,7 @@ def contacts(pieces: DataFrame, max_separation_m: float, cell_deg: float, hot_ro
     right = right.select(*keys, "_salt", *[F.col(n).alias(f"o_{n}") for n in names])
     pair = left.join(right, [*keys, "_salt"]).where(
         (F.col("platform_id") < F.col("o_platform_id")) & (F.col("c") == cell_index(F.greatest("x0", "o_x0"), cell_deg))
-        & (F.col("r") == cell_index(F.greatest("y0", "o_y0"), cell_deg)))
+        & (F.col("r") == cell_index(F.greatest("y0", "o_y0"), cell_deg)) & (F.col("w") == F.expr(f"greatest(s, o_s) div {moment}")))
     pair = pair.withColumn("from_t", F.greatest("s", "o_s")).withColumn("to_t", F.least("e", "o_e")).where("from_t < to_t")
 
     def where(p: str, v: str, t: str) -> Column:

@@ -76,3 +76,14 @@ def test_nearest_report_widens_its_search_and_stays_exact(spark, monkeypatch):
     every = join(detections.withColumn("_b", F.lit(0)), reports.select("event_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.lit(0).alias("_b")),
                  ("lat", "lon"), ("r_lat", "r_lon"), F.lit(10_000.0), (10_000.0,), equal=["_b"]).count()
     assert len(looked) > 1 and looked[0].count() < every / 4  # one wide search looks at about all
+
+
+def test_meetings_pair_only_pieces_of_one_moment(spark):
+    from plotgap.operators import rendezvous as R
+    rows = [(i * 2 + k, f"P{k}", 1_000_000 * (3 * i + k), 37.0 + k * 1e-4, -75.0 + i * 1e-6) for i in range(600) for k in range(2)]
+    frame = spark.createDataFrame(rows, "event_id bigint, platform_id string, t_us bigint, lat double, lon double")
+    got = R.contacts(R.motion_pieces(frame, 600_000_000, 3600.0), 500.0, 0.05, 20_000)
+    join = got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+    assert " div " in join  # the join itself is cut by moments
+    met = R.rendezvous(frame, 500.0, 60.0).collect()
+    assert [(r["a"], r["b"]) for r in met] == [("P0", "P1")] and met[0]["n_contacts"] == got.count()
