@@ -18,6 +18,8 @@ from plotgap.plans.sequence import running
 
 POOLED = "any"
 KEY_DEG = 0.01
+#: Throws that one row is expanded to.
+BLOCK = 1 << 16
 
 
 def limit_sets(features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,26 +116,31 @@ def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str) -
     """p of the band chi-square when each pass's points are re-thrown into its own searched water.
 
     Every point is thrown by a hash uniform through the cumulative area shares, whatever
-    the size of its pass; throws are dealt by (pass, trial) before they are expanded.
+    the size of its pass; throws are dealt by (pass, trial, block) before they are expanded.
+    The shares are plain columns beside the throw, so its hash is worked out once and not
+    again for each band.
     """
     counts, area = pin(counts), pin(area)
     exp = pin(expectation(counts, area))
     stat = chi_square(observed_expected(counts, exp), ["limit", "matched"])
     n = counts.groupBy("limit", "matched", "day").agg(F.sum("n").alias("n_pass"))
     total = area.groupBy("limit", "day").agg(F.sum("km2").alias("km2_pass")).where("km2_pass > 0")
-    passes = n.join(total, ["limit", "day"])
     upto = running(area, ["limit", "day"], ["band"], F.col("km2"), "upto", "sum", F.lit(0).cast("bigint"))
     cdf = upto.join(total, ["limit", "day"]).groupBy("limit", "day").agg(
         F.array_sort(F.collect_list(F.struct("upto", "band"))).alias("cdf"), F.max("upto").alias("top"))
-    throws = passes.join(cdf, ["limit", "day"]).select(
-        "limit", "matched", "day", "cdf", "top", "n_pass", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-    throws = (spread(throws, "limit", "matched", "day", "trial")
-              .select("limit", "matched", "day", "cdf", "top", "trial", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_pass"))).alias("i")))
-    mark = uniform(seed, "limit", "matched", "day", "trial", "i") * F.col("top")
-    landed = throws.withColumn("_u", mark).select(
-        "limit", "matched", "trial", F.filter("cdf", lambda c: c["upto"] > F.col("_u"))[0]["band"].alias("band"))
-    thrown = landed.groupBy("limit", "matched", "trial", "band").agg(F.count(F.lit(1)).alias("n"))
-    sim = thrown.withColumnRenamed("n", "sim")
+    passes = pin(n.join(cdf, ["limit", "day"]).withColumn("pass", F.monotonically_increasing_id()))
+    bands = passes.agg(F.max(F.size("cdf"))).first()[0] or 0
+    edges = [F.get("cdf", F.lit(k))["upto"].alias(f"_e{k}") for k in range(bands)]
+    throws = passes.select("pass", F.concat_ws("|", "limit", "matched", "day").alias("_name"), "top", "n_pass", *edges,
+                           F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
+    throws = throws.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_pass - 1) div {BLOCK}"))))
+    throws = (spread(throws, "pass", "trial", "block").withColumn("_name", F.concat_ws("|", "_name", "trial"))
+              .withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("n_pass", (F.col("block") + 1) * BLOCK)))))
+    mark = throws.withColumn("_u", uniform(seed, "_name", "i") * F.col("top"))
+    place = sum((F.when(F.col(f"_e{k}") <= F.col("_u"), 1).otherwise(0) for k in range(bands)), F.lit(0))
+    landed = mark.groupBy("pass", "trial", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    thrown = landed.join(passes, "pass").select("limit", "matched", "trial", F.get("cdf", F.col("place"))["band"].alias("band"), "n")
+    sim = thrown.groupBy("limit", "matched", "trial", "band").agg(F.sum("n").alias("sim"))
     frame = exp.select("limit", "matched", "band", "expected", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
     filled = frame.join(sim, ["limit", "matched", "trial", "band"], "left").fillna(0, ["sim"])
     return _p_value(chi_square(filled, ["limit", "matched", "trial"], "sim"), stat, ["limit", "matched"])

@@ -87,3 +87,39 @@ def test_meetings_pair_only_pieces_of_one_moment(spark):
     assert " div " in join  # the join itself is cut by moments
     met = R.rendezvous(frame, 500.0, 60.0).collect()
     assert [(r["a"], r["b"]) for r in met] == [("P0", "P1")] and met[0]["n_contacts"] == got.count()
+
+
+def test_each_throw_is_hashed_once(spark):
+    from hashlib import md5
+
+    from plotgap.operators import boundary as S
+    share = {"a": 1.0, "b": 2.5, "c": 0.0, "d": 4.0}
+    n = {(True, 3): 40, (False, 3): 70_000, (False, 4): 9}
+    counts = spark.createDataFrame([("L", m, d, b, k // 4 + (k % 4 if b == "a" else 0)) for (m, d), k in n.items() for b in share], "limit string, matched boolean, day bigint, band string, n bigint")
+    area = spark.createDataFrame([("L", d, b, w) for d in (3, 4) for b, w in share.items() if (d, b) != (4, "d")], "limit string, day bigint, band string, km2 double")
+    got = S.scattered_null(counts, area, 3, "t")
+    assert not any("lambdafunction" in line and "md5" in line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    want = {}
+    for m in (True, False):
+        expected, seen = dict.fromkeys(share, 0.0), dict.fromkeys(share, 0)
+        sims = [dict.fromkeys(share, 0) for _ in range(3)]
+        for (mm, d), k in n.items():
+            if mm != m:
+                continue
+            here = {b: w for b, w in share.items() if (d, b) != (4, "d")}
+            for b in share:
+                seen[b] += k // 4 + (k % 4 if b == "a" else 0)
+                expected[b] += k * here.get(b, 0.0) / sum(here.values())
+            for trial in range(3):
+                for i in range(1, k + 1):
+                    u, upto = int(md5(f"t|L|{str(m).lower()}|{d}|{trial + 1}|{i}".encode()).hexdigest()[:8], 16) / 2 ** 32 * sum(here.values()), 0.0
+                    for b, w in here.items():
+                        upto += w
+                        if upto > u:
+                            sims[trial][b] += 1
+                            break
+
+        def chi(o):
+            return sum((o[b] - e) ** 2 / e for b, e in expected.items() if e > 0)
+        want[m] = (sum(chi(s) >= chi(seen) for s in sims), 3, round(chi(seen), 6))
+    assert {r["matched"]: (r["k"], r["trials"], round(r["chi2"], 6)) for r in got.collect()} == want
