@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,29 @@ def test_each_throw_is_hashed_once(spark):
             return sum((o[b] - e) ** 2 / e for b, e in expected.items() if e > 0)
         want[m] = (sum(chi(s) >= chi(seen) for s in sims), 3, round(chi(seen), 6))
     assert {r["matched"]: (r["k"], r["trials"], round(r["chi2"], 6)) for r in got.collect()} == want
+
+
+def test_gates_share_components_and_tasks_take_many(spark, monkeypatch):
+    from plotgap.operators import calibration as B
+    from plotgap.operators import matching as M
+    rng = random.Random(11)
+    pairs = {(s, s * 1000 + rng.randrange(60), f"P{rng.randrange(25)}") for s in (1, 2) for _ in range(110)}
+    pairs = spark.createDataFrame([(s, o, p, 1, float(rng.randrange(40)), 50.0) for s, o, p in sorted(pairs)],
+                                  "scene bigint, obs_id bigint, platform_id string, track_seq int, distance_m double, radius_m double")
+    rows = [(s, s * 1000 + i, 6.0 + rng.randrange(40), 2 + rng.randrange(20), 25.0) for s in (1, 2) for i in range(60)]
+    observations = spark.createDataFrame(rows, "scene bigint, obs_id bigint, snr double, pixels int, uncertainty_m double")
+    fixes = spark.createDataFrame([(s, f"P{i}", 1, 60.0, 20.0, True) for s in (1, 2) for i in range(25)],
+                                  "scene bigint, platform_id string, track_seq int, length_m double, uncertainty_m double, has_fix boolean")
+    area = spark.createDataFrame([(1, 6e4), (2, 6e4)], "scene bigint, km2 double")
+    gates, searched, find = [(6.0, 2), (20.0, 6)], [], M.connected_components
+    plain = {g: M.maximum_matching(pairs.join(observations.where((F.col("snr") >= g[0]) & (F.col("pixels") >= g[1])), ["scene", "obs_id"], "left_semi")).count() for g in gates}
+    monkeypatch.setattr(M, "connected_components", lambda edges: searched.append(edges.count()) or find(edges))
+    got = B.gate_grid_search(observations, fixes, pairs, area)
+    found = {(r["min_snr"], r["min_pixels"]): r["n_kept"] - r["unmatched"] for r in got.collect()}
+    assert {g: found[g] for g in gates} == plain
+    assert searched and max(searched) <= pairs.count()  # not once more for every gate
+    assert "FlatMapGroupsInPandas" not in M.maximum_matching(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [pd.DataFrame({"component": list(c), "obs_id": o, "track": list(t), "distance_m": d, "scene": 1, "platform_id": list(t), "track_seq": 1, "radius_m": 9.0})
+              for c, o, t, d in (("aab", [1, 1, 3], "xyz", [2.0, 1.0, 1.0]), ("bbb", [4, 5, 4], "zzw", [2.0, 3.0, 5.0]), ("bcc", [5, 6, 7], "vuu", [1.0, 1.0, 2.0]))]
+    kept = pd.concat(M._settled_runs(iter(frames)))
+    assert sorted(zip(kept["obs_id"], kept["platform_id"])) == [(1, "y"), (3, "z"), (4, "w"), (5, "v"), (6, "u")]
