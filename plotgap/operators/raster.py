@@ -152,25 +152,36 @@ def _bracket(lines: str, v: Column) -> tuple[Column, Column, Column]:
     return lo, hi, frac
 
 
-def _corner(lattice: DataFrame, row: str, column: str, tag: str) -> DataFrame:
-    return lattice.select("scene", F.col("prow").alias(row), F.col("pcol").alias(column), F.struct("lon", "lat").alias(tag))
+def _scenes(lattice: DataFrame) -> DataFrame:
+    """One row for each scene: its node lines and its nodes row by row, null where one is missing (a lattice has tens of lines)."""
+    got = lattice.groupBy("scene").agg(F.array_sort(F.collect_set("prow")).alias("rows"), F.array_sort(F.collect_set("pcol")).alias("cols"),
+                                       F.array_sort(F.collect_list(F.struct("prow", "pcol", "lon", "lat"))).alias("_nodes"))
+    filled = F.flatten(F.transform("rows", lambda r: F.transform("cols", lambda c: F.get(
+        F.filter("_nodes", lambda n: (n["prow"] == r) & (n["pcol"] == c)), F.lit(0)))))
+    return got.withColumn("_nodes", F.when(F.size("_nodes") == F.size("rows") * F.size("cols"), F.col("_nodes")).otherwise(filled))
 
 
 def pixel_to_lonlat(points: DataFrame, lattice: DataFrame, row: str = "row", column: str = "col") -> DataFrame:
-    """Bilinear position of each pixel on a complete control lattice, clamped at its edges."""
-    rows = points.join(F.broadcast(_lines(lattice)), "scene")
+    """Bilinear position of each pixel on a complete control lattice, clamped at its edges.
+
+    A pixel meets its scene's lattice in one join and takes its four corners from it by place. Few scenes are small enough to be
+    broadcast by size, many are joined by scene.
+    """
+    rows = points.join(_scenes(lattice), "scene")
     i0, i1, fr = _bracket("rows", F.col(row))
     j0, j1, fc = _bracket("cols", F.col(column))
-    rows = rows.withColumns({"_r0": F.element_at("rows", i0), "_r1": F.element_at("rows", i1), "_c0": F.element_at("cols", j0),
-                             "_c1": F.element_at("cols", j1), "_fr": fr, "_fc": fc}).drop("rows", "cols")
-    for r, c, tag in (("_r0", "_c0", "_aa"), ("_r0", "_c1", "_ab"), ("_r1", "_c0", "_ba"), ("_r1", "_c1", "_bb")):
-        rows = rows.join(_corner(lattice, r, c, tag), ["scene", r, c])
+    rows = rows.withColumns({"_i0": i0, "_i1": i1, "_j0": j0, "_j1": j1, "_fr": fr, "_fc": fc, "_w": F.size("cols")})
+    rows = rows.withColumns({f"_{a}{b}": F.element_at("_nodes", ((F.col(f"_i{i}") - 1) * F.col("_w") + F.col(f"_j{j}")).cast("int"))
+                             for a, i in (("a", 0), ("b", 1)) for b, j in (("a", 0), ("b", 1))})
+
+    rows = rows.where(" AND ".join(f"_{c} IS NOT NULL" for c in ("aa", "ab", "ba", "bb")))
 
     def mix(f):
         top = F.col("_aa")[f] * (1 - F.col("_fc")) + F.col("_ab")[f] * F.col("_fc")
         bottom = F.col("_ba")[f] * (1 - F.col("_fc")) + F.col("_bb")[f] * F.col("_fc")
         return top * (1 - F.col("_fr")) + bottom * F.col("_fr")
-    return rows.withColumn("lon", mix("lon")).withColumn("lat", mix("lat")).drop("_r0", "_r1", "_c0", "_c1", "_fr", "_fc", "_aa", "_ab", "_ba", "_bb")
+    return rows.withColumn("lon", mix("lon")).withColumn("lat", mix("lat")).drop(
+        "rows", "cols", "_nodes", "_i0", "_i1", "_j0", "_j1", "_fr", "_fc", "_w", "_aa", "_ab", "_ba", "_bb")
 
 
 def holdout_errors(lattice: DataFrame, step: int) -> DataFrame:

@@ -150,3 +150,27 @@ def test_gates_share_components_and_tasks_take_many(spark, monkeypatch):
               for c, o, t, d in (("aab", [1, 1, 3], "xyz", [2.0, 1.0, 1.0]), ("bbb", [4, 5, 4], "zzw", [2.0, 3.0, 5.0]), ("bcc", [5, 6, 7], "vuu", [1.0, 1.0, 2.0]))]
     kept = pd.concat(M._settled_runs(iter(frames)))
     assert sorted(zip(kept["obs_id"], kept["platform_id"])) == [(1, "y"), (3, "z"), (4, "w"), (5, "v"), (6, "u")]
+
+
+def test_pixels_meet_their_lattice_in_one_join(spark):
+    from plotgap.operators import raster as R
+    nodes = [(s, 8.0 * i, 8.0 * j, -75.0 + j * 0.02 + i * 0.001 + s, 37.0 - i * 0.015 + s) for s in (1, 2) for i in range(3) for j in range(4) if (s, i, j) != (2, 1, 3)]
+    lattice = spark.createDataFrame(nodes, "scene bigint, prow double, pcol double, lon double, lat double")
+    pixels = spark.createDataFrame([(s, r, c) for s in (1, 2, 3) for r in range(-1, 20, 3) for c in range(0, 30, 2)], "scene bigint, row bigint, col bigint")
+    got = R.pixel_to_lonlat(pixels, lattice)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "broadcast" not in plan  # no table of the lattice in every task but by its size
+    have = {n[:3]: n[3:] for n in nodes}
+
+    def ends(v, n):
+        lo = 8.0 * min(max(int(v // 8), 0), n - 1)
+        inside = 0 <= v < 8 * (n - 1)
+        return lo, lo + 8 * inside, (v - lo) / 8 * inside
+    want = {}
+    for s, r, c in map(tuple, pixels.collect()):
+        (r0, r1, fr), (c0, c1, fc) = ends(r, 3), ends(c, 4)
+        four = [have.get((s, a, b)) for a in (r0, r1) for b in (c0, c1)]
+        if all(four):
+            want[s, r, c] = [round((a * (1 - fc) + b * fc) * (1 - fr) + (d * (1 - fc) + e * fc) * fr, 9) for a, b, d, e in zip(*four)]
+    assert {(x["scene"], x["row"], x["col"]): [round(x["lon"], 9), round(x["lat"], 9)] for x in got.collect()} == want
+    assert len(want) < 210 and any(s == 2 for s, _, _ in want)
