@@ -2,40 +2,98 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotgap import constants as C
 from plotgap.functions.geo import cell_index, haversine_m
-from plotgap.plans.grid import band_join
+from plotgap.plans.grid import band_join, cells_around, home_cell
 from plotgap.plans.nearest import nearest_line
 from plotgap.plans.reuse import pin
 from plotgap.plans.sequence import chunk_of, running
+from plotgap.plans.skew import split_hot
 
 US = 1_000_000
 #: Raw scores are whole thousandths, so every table by level has at most LEVELS + 1 rows.
 LEVELS = 1000
+#: Cells in a reach when candidates and silences are summed up by cells.
+CUT = 8
 WEIGHTS = {"size": 1.0, "clean": 1.0, "place": 1.0, "company": 2.0, "coverage": 1.0}
 
 
+def _lattice(lat: str, lon: str, side_m: float, names: tuple[str, str]) -> list[Column]:
+    """Row and column of a cell whose points all lie within ``_radius`` of its centre; columns are cut where a row is widest."""
+    side = side_m / C.M_PER_DEG
+    row = F.floor(F.col(lat) / side).cast("bigint")
+    return [row.alias(names[0]), F.floor(F.col(lon) / _column_deg(row, side)).cast("bigint").alias(names[1])]
+
+
+def _column_deg(row: Column, side: float) -> Column:
+    least = F.least(F.abs(row * side), F.abs((row + 1) * side))
+    return side / F.greatest(F.cos(F.radians(F.least(least, F.lit(90.0)))), F.lit(0.01))
+
+
+def _centre(row: str, column: str, side_m: float, names: tuple[str, str]) -> list[Column]:
+    side = side_m / C.M_PER_DEG
+    lat = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (F.col(row) + 0.5) * side))
+    return [lat.alias(names[0]), ((F.col(column) + 0.5) * _column_deg(F.col(row), side)).alias(names[1])]
+
+
+def _radius(side_m: float) -> float:
+    return side_m * math.sqrt(0.5) * 1.01  # one per cent covers the difference between flat and spherical metres
+
+
+def last_near(asked: DataFrame, quiet: DataFrame, reach_m: float, width: int) -> DataFrame:
+    """(t_scene_us, _pr, _pc, start_us, lat0, lon0): for each post the silences that can be the last one near a candidate in it.
+
+    asked(t_scene_us, _pr, _pc) are posts: an instant and a cell 1/CUT as wide as the reach. Silences are summed up by instant and
+    cell to the latest start. The latest one in a cell that is within reach from all of the post bounds the answer, so only cells on
+    the rim or later than that bound are opened, and of those only the silences not before it. What is left follows the posts and
+    not how many silences are near. All of equal start are kept.
+    """
+    side, radius = reach_m / CUT, _radius(reach_m / CUT)
+    post = ["t_scene_us", "_pr", "_pc"]
+    posts = asked.distinct().select(*post, *_centre("_pr", "_pc", side, ("p_lat", "p_lon")))
+    slot = F.expr(f"t_scene_us div {width}")
+    wide = reach_m + 2 * radius
+    # instants meet the silences about them once for all posts of a cell
+    hours = posts.withColumn("_slot", F.explode(F.array(slot - 1, slot)))
+    hours = cells_around(hours, "p_lat", "p_lon", wide, ("_wr", "_wc")).select("t_scene_us", "_slot", "_wr", "_wc").distinct()
+    quiet = quiet.select("start_us", "lat0", "lon0", F.expr(f"start_us div {width}").alias("_slot")).distinct()
+    seen = hours.join(quiet.select("*", *home_cell("lat0", "lon0", wide, ("_wr", "_wc"))), ["_slot", "_wr", "_wc"])
+    seen = seen.where((F.col("start_us") <= F.col("t_scene_us")) & (F.col("start_us") > F.col("t_scene_us") - width))
+    cell = ["t_scene_us", "_sr", "_sc"]
+    seen = pin(seen.select("t_scene_us", "start_us", "lat0", "lon0", *_lattice("lat0", "lon0", side, ("_sr", "_sc"))))
+    last = seen.groupBy(*cell).agg(F.max("start_us").alias("_last")).select(*cell, "_last", *_centre("_sr", "_sc", side, ("s_lat", "s_lon")))
+    met = band_join(posts, last, ("p_lat", "p_lon"), ("s_lat", "s_lon"), F.lit(wide), [wide], ["t_scene_us"])
+    met = met.withColumn("_m", haversine_m("p_lat", "p_lon", "s_lat", "s_lon")).where(F.col("_m") <= wide)
+    bound = met.groupBy(*post).agg(F.max(F.when(F.col("_m") <= reach_m - 2 * radius, F.col("_last"))).alias("_sure"),
+                                   F.collect_list(F.struct("_last", "_sr", "_sc")).alias("_cells"))
+    late = F.filter("_cells", lambda x: F.col("_sure").isNull() | (x["_last"] >= F.col("_sure")))
+    doors = bound.select(*post, "_sure", F.explode(late).alias("_c")).select(*post, "_sure", "_c._sr", "_c._sc")
+    doors, seen = split_hot(doors, seen, cell, "start_us")
+    open_ = doors.join(seen, [*cell, "_salt"]).where(F.col("_sure").isNull() | (F.col("start_us") >= F.col("_sure")))
+    open_ = open_.select(*post, "start_us", "lat0", "lon0", *_centre("_pr", "_pc", side, ("p_lat", "p_lon")))
+    return open_.where(haversine_m("p_lat", "p_lon", "lat0", "lon0") <= reach_m + radius).drop("p_lat", "p_lon")
+
+
 def fell_silent(candidates: DataFrame, silences: DataFrame, reach_m: float, window_s: float) -> DataFrame:
     """(obs_id, gone_us, gone_m): the last track that fell silent near a candidate, at most ``window_s`` before its scene.
 
-    candidates(obs_id, t_scene_us, lat, lon); silences(event_id, start_us, lat0, lon0). The as-of join runs on lattice cells and
-    time slots as wide as the window, so a candidate looks into two slots; hot cells are split by count. Of silences that began at
-    the same instant the nearest counts.
+    candidates(obs_id, t_scene_us, lat, lon); silences(event_id, start_us, lat0, lon0). Candidates of one scene and cell share
+    a post; each is measured exactly against the few silences that can be the last one for some place of its post. Of silences
+    that began at the same instant the nearest counts.
     """
-    width = int(window_s * US)
-    slot = F.expr(f"t_scene_us div {width}")
-    asked = candidates.where("lat IS NOT NULL AND lon IS NOT NULL").select("obs_id", "t_scene_us", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.explode(F.array(slot - 1, slot)).alias("_slot"))
-    quiet = silences.where("lat0 IS NOT NULL AND lon0 IS NOT NULL").select("event_id", "start_us", "lat0", "lon0", F.expr(f"start_us div {width}").alias("_slot"))
-    met = band_join(asked, quiet, ("c_lat", "c_lon"), ("lat0", "lon0"), F.lit(float(reach_m)), [float(reach_m)], ["_slot"], "event_id")
-    met = met.withColumn("_m", haversine_m("c_lat", "c_lon", "lat0", "lon0"))
-    near = met.where((F.col("_m") <= reach_m) & (F.col("start_us") <= F.col("t_scene_us")) & (F.col("start_us") > F.col("t_scene_us") - width))
+    width, post = int(window_s * US), ["t_scene_us", "_pr", "_pc"]
+    asked = candidates.where("lat IS NOT NULL AND lon IS NOT NULL AND t_scene_us IS NOT NULL").select("obs_id", "t_scene_us", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    asked = asked.select("*", *_lattice("c_lat", "c_lon", reach_m / CUT, ("_pr", "_pc")))
+    few = last_near(asked.select(*post), silences.where("lat0 IS NOT NULL AND lon0 IS NOT NULL"), reach_m, width)
+    near = asked.join(few, post).withColumn("_m", haversine_m("c_lat", "c_lon", "lat0", "lon0")).where(F.col("_m") <= reach_m)
     return near.groupBy("obs_id").agg(F.max(F.struct("start_us", -F.col("_m"))).alias("_g")).select(
         "obs_id", F.col("_g.start_us").alias("gone_us"), (-F.col("_g")["col2"]).alias("gone_m"))
 

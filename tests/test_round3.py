@@ -174,3 +174,40 @@ def test_pixels_meet_their_lattice_in_one_join(spark):
             want[s, r, c] = [round((a * (1 - fc) + b * fc) * (1 - fr) + (d * (1 - fc) + e * fc) * fr, 9) for a, b, d, e in zip(*four)]
     assert {(x["scene"], x["row"], x["col"]): [round(x["lon"], 9), round(x["lat"], 9)] for x in got.collect()} == want
     assert len(want) < 210 and any(s == 2 for s, _, _ in want)
+
+
+@pytest.mark.parametrize("lat,lon", [(37.0, -75.0), (-0.01, 0.01), (80.0, 20.0)])
+def test_company_looks_at_few_silences_where_many_are_near(spark, monkeypatch, lat, lon):
+    import math
+
+    from plotgap.constants import EARTH_RADIUS_M
+    from plotgap.operators import ranking as R
+    rng, us, wide = random.Random(7), 1_000_000, 0.05 / math.cos(math.radians(lat))
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(h))
+    told = [(i, rng.randrange(9_000, 20_000, 3 if i % 2 else 600) * us, lat + rng.random() * 0.05, lon + rng.random() * wide) for i in range(1500)]
+    asked = [(i, (10_800, 14_400, 18_000, 90_000)[i % 4] * us, lat + rng.uniform(-0.06, 0.11), lon + rng.uniform(-1.2, 2.2) * wide, 1, 0.5) for i in range(240)]
+    asked += [(900 + i, 14_400 * us, *told[i][2:], 1, 0.5) for i in range(20)]
+    want, pairs = {}, 0
+    for o, t, a, b, *_ in asked:
+        near = [(s, -metres(a, b, c, d)) for _, s, c, d in told if t - 7_200 * us < s <= t]
+        pairs += len(near)
+        near = [n for n in near if -n[1] <= 5_000.0]
+        if near:
+            want[o] = max(near)
+    looked, join = [], R.band_join
+
+    def counted(*args, **kw):
+        looked.append(join(*args, **kw))
+        return looked[-1]
+    monkeypatch.setattr(R, "band_join", counted)
+    candidates = spark.createDataFrame(asked, "obs_id bigint, t_scene_us bigint, lat double, lon double, pixels int, confidence double")
+    silences = spark.createDataFrame(told * 2, "event_id bigint, start_us bigint, lat0 double, lon0 double")
+    got = {r["obs_id"]: (r["gone_us"], r["gone_m"]) for r in R.fell_silent(candidates, silences, 5_000.0, 7_200.0).collect()}
+    assert {o: g[0] for o, g in got.items()} == {o: w[0] for o, w in want.items()} and 100 < len(want) < 250
+    assert all(abs(got[o][1] + w[1]) < 1e-3 for o, w in want.items())
+    assert sum(j.count() for j in looked) < pairs / 4  # cells, not pairs of a candidate and a silence
+    posts = candidates.select("t_scene_us", *R._lattice("lat", "lon", 5_000.0 / R.CUT, ("_pr", "_pc")))
+    assert R.last_near(posts, silences, 5_000.0, 7_200 * us).count() < pairs / 10
