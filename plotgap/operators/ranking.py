@@ -52,9 +52,10 @@ def last_near(asked: DataFrame, quiet: DataFrame, reach_m: float, width: int) ->
     """(t_scene_us, _pr, _pc, start_us, lat0, lon0): for each post the silences that can be the last one near a candidate in it.
 
     asked(t_scene_us, _pr, _pc) are posts: an instant and a cell 1/CUT as wide as the reach. Silences are summed up by instant and
-    cell to the latest start. The latest one in a cell that is within reach from all of the post bounds the answer, so only cells on
-    the rim or later than that bound are opened, and of those only the silences not before it. What is left follows the posts and
-    not how many silences are near. All of equal start are kept.
+    place to the latest start, since an earlier one at the same place is never the last, and these by cell. The latest one in a cell
+    that is within reach from all of the post bounds the answer, so only cells on the rim or later than that bound are opened, and of
+    those only the silences not before it. Where there is no bound, as on the rim of a quiet area, every place of the rim is left.
+    All of equal start at different places are kept.
     """
     side, radius = reach_m / CUT, _radius(reach_m / CUT)
     post = ["t_scene_us", "_pr", "_pc"]
@@ -68,6 +69,7 @@ def last_near(asked: DataFrame, quiet: DataFrame, reach_m: float, width: int) ->
     seen = hours.join(quiet.select("*", *home_cell("lat0", "lon0", wide, ("_wr", "_wc"))), ["_slot", "_wr", "_wc"])
     seen = seen.where((F.col("start_us") <= F.col("t_scene_us")) & (F.col("start_us") > F.col("t_scene_us") - width))
     cell = ["t_scene_us", "_sr", "_sc"]
+    seen = seen.groupBy("t_scene_us", "lat0", "lon0").agg(F.max("start_us").alias("start_us"))
     seen = pin(seen.select("t_scene_us", "start_us", "lat0", "lon0", *_lattice("lat0", "lon0", side, ("_sr", "_sc"))))
     last = seen.groupBy(*cell).agg(F.max("start_us").alias("_last")).select(*cell, "_last", *_centre("_sr", "_sc", side, ("s_lat", "s_lon")))
     met = band_join(posts, last, ("p_lat", "p_lon"), ("s_lat", "s_lon"), F.lit(wide), [wide], ["t_scene_us"])

@@ -211,3 +211,23 @@ def test_company_looks_at_few_silences_where_many_are_near(spark, monkeypatch, l
     assert sum(j.count() for j in looked) < pairs / 4  # cells, not pairs of a candidate and a silence
     posts = candidates.select("t_scene_us", *R._lattice("lat", "lon", 5_000.0 / R.CUT, ("_pr", "_pc")))
     assert R.last_near(posts, silences, 5_000.0, 7_200 * us).count() < pairs / 10
+
+
+def test_a_place_that_falls_silent_again_is_looked_at_once(spark):
+    from plotgap.operators import ranking as R
+    us, rng = 1_000_000, random.Random(3)
+    # all places lie near the reach of the post, so no cell of it is within reach for sure
+    places = [(37.0 + rng.uniform(-0.002, 0.002), -75.0 + rng.uniform(0.052, 0.0575)) for _ in range(6)]
+    told = [(i, rng.randrange(7_000, 19_000) * us, *places[i % 6]) for i in range(900)]
+    asked = [(i, (10_800, 14_400)[i % 2] * us, 37.0 + rng.uniform(0, 0.004), -75.0 + rng.uniform(0, 0.004), 1, 0.5) for i in range(80)]
+    candidates = spark.createDataFrame(asked, "obs_id bigint, t_scene_us bigint, lat double, lon double, pixels int, confidence double")
+    silences = spark.createDataFrame(told, "event_id bigint, start_us bigint, lat0 double, lon0 double")
+    met = candidates.crossJoin(silences).where("start_us <= t_scene_us AND start_us > t_scene_us - 7200000000")
+    met = met.withColumn("m", R.haversine_m("lat", "lon", "lat0", "lon0")).where("m <= 5000")
+    want = {r["obs_id"]: (r["g"]["start_us"], -r["g"]["n"]) for r in met.groupBy("obs_id").agg(F.max(F.struct("start_us", (-F.col("m")).alias("n"))).alias("g")).collect()}
+    got = {r["obs_id"]: (r["gone_us"], r["gone_m"]) for r in R.fell_silent(candidates, silences, 5_000.0, 7_200.0).collect()}
+    assert {o: g[0] for o, g in got.items()} == {o: w[0] for o, w in want.items()} and 0 < len(want)
+    assert all(abs(got[o][1] - w[1]) < 1e-6 for o, w in want.items())
+    posts = candidates.select("t_scene_us", *R._lattice("lat", "lon", 5_000.0 / R.CUT, ("_pr", "_pc"))).distinct()
+    few = R.last_near(posts, silences, 5_000.0, 7_200 * us)
+    assert few.count() and few.groupBy("t_scene_us", "_pr", "_pc").count().agg(F.max("count")).first()[0] <= 6
