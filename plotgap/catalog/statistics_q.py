@@ -100,7 +100,7 @@ def band_ratios(t):
     return S.band_ratios(table(t)).select("limit", "matched", "band", F.round("ratio", 6).alias("ratio"))
 
 
-TR = 30
+TR = 2000
 SC = f"""{EX}, cdf AS (SELECT lim, day, band, sum(km2) OVER (PARTITION BY lim, day ORDER BY band) AS upto, sum(km2) OVER (PARTITION BY lim, day) AS top FROM ba),
   th AS (SELECT lim, matched, day, trial, i, {d.u('sc', 'lim', 'matched', 'day', 'trial', 'i')} AS u FROM (SELECT lim, matched, day, CAST(sum(n) AS BIGINT) AS np FROM bc GROUP BY 1, 2, 3) JOIN (SELECT DISTINCT lim, day FROM ba) USING (lim, day), range(1, {TR + 1}) a(trial), LATERAL (SELECT unnest(range(1, np+1)) AS i)),
   la AS (SELECT lim, matched, trial, th.day, i, min(band) AS band FROM th JOIN cdf USING (lim, day) WHERE upto>u*top GROUP BY 1, 2, 3, 4, 5),

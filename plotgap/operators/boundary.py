@@ -3,14 +3,17 @@ water, with a scattered null and a displaced-pattern null."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotgap import constants as C
 from plotgap.functions import classes as K
 from plotgap.functions.geo import cell_index, searched_cell_km2
+from plotgap.plans.hashes import first_words
 from plotgap.plans.nearest import nearest_line
 from plotgap.plans.ranks import uniform
 from plotgap.plans.reuse import pin, spread
@@ -18,8 +21,8 @@ from plotgap.plans.sequence import running
 
 POOLED = "any"
 KEY_DEG = 0.01
-#: Throws that one row is expanded to.
-BLOCK = 1 << 16
+#: Points of a pass that one row stands for at most, and throws that it stands for at least, if its pass has them.
+BLOCK, THROWS = 1 << 18, 1 << 20
 
 
 def limit_sets(features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +115,40 @@ def _p_value(sims: DataFrame, stat: DataFrame, keys: Sequence[str]) -> DataFrame
                                    F.first("stat").alias("chi2")).withColumn("p", (F.col("k") + 1) / (F.col("trials") + 1))
 
 
+def _mark(edge: float, top: float) -> int:
+    """The least eight hex digits x with edge <= x / 2^32 * top; 2^32 if there are none."""
+    low, high = 0, 1 << 32
+    while low < high:
+        x = (low + high) // 2
+        low, high = (low, x) if edge <= x / 4294967296.0 * top else (x + 1, high)
+    return low
+
+
+def _landed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pass, trial, place, n): how many points of each range of throws land at or after as many edges as ``place``."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            marks = [_mark(e, r["top"]) for e in r["upto"]]
+            trials, points = range(r["trial"], r["trial_to"] + 1), r["i_to"] - r["i"] + 1
+            beyond = np.array([[points if m == 0 else 0 for m in [0, *marks, 1 << 32]]] * len(trials))
+            open_ = [k for k, m in enumerate(marks, 1) if 0 < m < 1 << 32]
+            if open_:  # else all throws land in one place, whatever their hashes
+                for i, x in first_words(r["name"], (r["trial"], r["trial_to"]), (r["i"], r["i_to"])):
+                    at = slice(i - r["trial"], i - r["trial"] + len(x))
+                    for k in open_:
+                        beyond[at, k] += np.count_nonzero(x >= np.uint32(marks[k - 1]), axis=1)
+            n = beyond[:, :-1] - beyond[:, 1:]
+            t, place = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), r["pass"])), pa.array(t + r["trial"]), pa.array(place, pa.int32()), pa.array(n[t, place])],
+                                             names=["pass", "trial", "place", "n"])
+
+
 def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str) -> DataFrame:
     """p of the band chi-square when each pass's points are re-thrown into its own searched water.
 
     Every point is thrown by a hash uniform through the cumulative area shares, whatever
-    the size of its pass; throws are dealt by (pass, trial, block) before they are expanded.
-    The shares are plain columns beside the throw, so its hash is worked out once and not
-    again for each band.
+    the size of its pass. Throws are dealt as ranges of trials and points; a task hashes a
+    range in arrays and hands on counts, so throws never become rows.
     """
     counts, area = pin(counts), pin(area)
     exp = pin(expectation(counts, area))
@@ -129,16 +159,14 @@ def scattered_null(counts: DataFrame, area: DataFrame, trials: int, seed: str) -
     cdf = upto.join(total, ["limit", "day"]).groupBy("limit", "day").agg(
         F.array_sort(F.collect_list(F.struct("upto", "band"))).alias("cdf"), F.max("upto").alias("top"))
     passes = pin(n.join(cdf, ["limit", "day"]).withColumn("pass", F.monotonically_increasing_id()))
-    bands = passes.agg(F.max(F.size("cdf"))).first()[0] or 0
-    edges = [F.get("cdf", F.lit(k))["upto"].alias(f"_e{k}") for k in range(bands)]
-    throws = passes.select("pass", F.concat_ws("|", "limit", "matched", "day").alias("_name"), "top", "n_pass", *edges,
-                           F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-    throws = throws.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_pass - 1) div {BLOCK}"))))
-    throws = (spread(throws, "pass", "trial", "block").withColumn("_name", F.concat_ws("|", "_name", "trial"))
-              .withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("n_pass", (F.col("block") + 1) * BLOCK)))))
-    mark = throws.withColumn("_u", uniform(seed, "_name", "i") * F.col("top"))
-    place = sum((F.when(F.col(f"_e{k}") <= F.col("_u"), 1).otherwise(0) for k in range(bands)), F.lit(0))
-    landed = mark.groupBy("pass", "trial", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    at_once = F.greatest(F.lit(1), F.expr(f"{THROWS} div least(n_pass, {BLOCK})"))
+    throws = passes.select("pass", F.concat_ws("|", F.lit(seed), "limit", "matched", "day").alias("name"), F.col("cdf.upto").alias("upto"), "top", "n_pass",
+                           at_once.alias("at_once"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_pass - 1) div {BLOCK}"))).alias("block"))
+    throws = throws.withColumn("trial", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trials).cast("bigint"), F.col("at_once"))))
+    throws = spread(throws).select(
+        "pass", "name", "upto", "top", "trial", F.least(F.lit(trials).cast("bigint"), F.expr("trial + at_once - 1")).alias("trial_to"),
+        F.expr(f"block * {BLOCK} + 1").alias("i"), F.expr(f"least(n_pass, (block + 1) * {BLOCK})").alias("i_to"))
+    landed = throws.mapInArrow(_landed, "pass bigint, trial bigint, place int, n bigint").groupBy("pass", "trial", "place").agg(F.sum("n").alias("n"))
     thrown = landed.join(passes, "pass").select("limit", "matched", "trial", F.get("cdf", F.col("place"))["band"].alias("band"), "n")
     sim = thrown.groupBy("limit", "matched", "trial", "band").agg(F.sum("n").alias("sim"))
     frame = exp.select("limit", "matched", "band", "expected", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
