@@ -35,3 +35,54 @@ def test_throws_are_dealt_in_ranges_and_all_counted(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 10)
     monkeypatch.setattr(S, "THROWS", 40)
     assert sorted(S.scattered_null(counts, area, 13, "t").collect()) == whole and len(whole) == 2
+
+
+def _motion(spark):
+    import random
+    rng = random.Random(9)
+    rows, at = [], {"P0": 1, "P1": 3, "P2": 300, "P3": 0}  # P0 and P1 report often, P2 seldom, P3 far away
+    for name, t in at.items():
+        for k in range({"P0": 400, "P1": 250, "P2": 6, "P3": 50}[name]):
+            rows.append((name, t * 1_000_000, 37.0 + (1.0 if name == "P3" else 0.0) + rng.uniform(-0.004, 0.004), -75.0 + rng.uniform(-0.004, 0.004)))
+            t += {"P0": rng.choice((1, 2)), "P1": 2, "P2": 100, "P3": 7}[name]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id bigint, platform_id string, t_us bigint, lat double, lon double")
+
+
+def test_contacts_are_those_of_all_pairs(spark):
+    import math
+
+    from plotgap.operators import rendezvous as R
+    pieces = R.motion_pieces(_motion(spark), 60_000_000, 3600.0)
+    got = R.contacts(pieces, 400.0, 0.05, 20_000)
+    assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]  # no cells are worked out for each pair of pieces
+    rows, want, met = pieces.collect(), {}, 0
+    for p in rows:
+        for q in rows:
+            begin, end = max(p["s"], q["s"]), min(p["e"], q["e"])
+            if p["platform_id"] >= q["platform_id"] or p["slot"] != q["slot"] or begin >= end:
+                continue
+            met += 1
+
+            def at(r, v, t):
+                return r[f"{v}_s"] + (r[f"{v}_e"] - r[f"{v}_s"]) * ((t - r["s"]) / (r["e"] - r["s"]))
+            scale = 111195.0 * math.cos(math.radians((at(p, "lat", begin) + at(q, "lat", begin)) / 2))
+            x, x1 = ((at(q, "lon", t) - at(p, "lon", t)) * scale for t in (begin, end))
+            y, y1 = ((at(q, "lat", t) - at(p, "lat", t)) * 111195.0 for t in (begin, end))
+            u, v = x1 - x, y1 - y
+            least = max(0.0, min(1.0, -(x * u + y * v) / (u * u + v * v)))
+            if (m := math.hypot(x + least * u, y + least * v)) <= 400.0:
+                key = (p["platform_id"], q["platform_id"])
+                want.setdefault(key, []).append(round(m, 6))
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["a"], r["b"]), []).append(round(r["min_m"], 6))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    assert set(want) == {("P0", "P1"), ("P0", "P2"), ("P1", "P2")} and sum(map(len, want.values())) < met
+
+
+def test_pieces_are_read_with_the_latest_of_the_other_platform(spark):
+    from plotgap.operators import rendezvous as R
+    pieces = R.motion_pieces(_motion(spark), 60_000_000, 3600.0)
+    plan = R.contacts(pieces, 400.0, 0.05, 20_000)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join Inner")[0]
+    assert "Window" in above and "moment" in above  # one pass over the pieces of two platforms, no join of pieces with pieces
