@@ -1,18 +1,19 @@
-"""Phrase collocations by level-wise counting over broadcast double-array tries.
+"""Phrase collocations by level-wise counting over broadcast sorted codes.
 
 Texts are lowered (A-Z), cut into pieces at punctuation and line ends, and pieces into words. Phrases of one word to
 ``longest`` words are counted level by level, and only what an Apriori-safe window shows is counted at all: a window of k
 words can be frequent only if both windows of k - 1 words in it are.
 
-For level k the driver builds one double-array trie of the frequent phrases of k - 1 words and, below them, the candidates
-of k words: phrases that some task found often in one of its own stretches (``LOCALLY`` times), while it counted the level
-before, and whose parts are frequent. A word is two or three bytes of its number, so every node has at most 256 children. The
-trie is bounded by ``most`` phrases of each kind, the most frequent ones, and is broadcast. A task puts the words of all its
-texts of one language in one array and advances the states of all text positions at once, word by word; states that accept a
-candidate are counted by bincount, and the counts of all tasks are summed. Windows that are safe but not among the candidates
-are summed as rows, so nothing is missed: a row is the number of the phrase of k - 1 words in the trie and that of the last
-word, which together are the window exactly. Frequent candidates never become rows. If not all frequent phrases of k - 1 words
-fit the trie, windows outside it count as safe, and rows hold the words themselves.
+The frequent words are numbered, and so are the frequent phrases of two words and more: a phrase is the place of its first
+words among the frequent phrases of that length, and the number of its last word, in one code. The sorted codes of the levels
+before are broadcast, eight bytes for each phrase; a task looks the windows of k - 1 words up in them, a whole stretch of text
+at a time, and what is safe leaves it as codes of k words, packed in a few bytes, dealt in sorted blocks by a bijective mix and
+counted by sorting one part at a time. Windows never become rows of their own.
+
+With more than ``most`` frequent phrases of a length, windows are counted in words from there on, as rows. Then a double-array
+trie of at most ``TRIE`` frequent phrases, and below them candidates that some task found often in one of its own stretches
+(``LOCALLY`` times), keeps the commonest windows from becoming rows: states that accept a candidate are counted by bincount. A
+word is two or three bytes of its number there, so every node has at most 256 children. Windows outside the trie count as safe.
 
 The score of a phrase is floor(scale * a / (l + r)) at its lowest-scoring cut into two parts, a, l and r being the counts of
 the phrase and of the parts; the first such cut counts. Arithmetic is in decimals of 38 digits. Phrases inside a longer
@@ -26,6 +27,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +47,11 @@ _UPPER = bytes(range(65, 91))
 #: Fixed bytes: what ends a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + b"\t" + _ENDS, _UPPER.lower() + b" " + _GAP * len(_ENDS))
-NUMBERS = "key long, next int, n long"
-WORD_BITS = 31
+#: Windows that a task holds before it deals them out, and about as many as one part gets.
+HELD = 1 << 20
+PART = 1 << 18
+TRIE = 300_000
+_MIX = 0x9E3779B97F4A7C15
 ROWS = "seed boolean, lang string, phrase string, n long"
 
 
@@ -119,9 +124,6 @@ class Trie:
         self.accept[at[1]] = np.arange(len(cand))
         self.place = np.full(len(self.base), -1, np.int32)  # states of the phrases of k - 1 words
         self.place[at[0]] = np.arange(len(rows))
-        number = dict(zip(known, range(len(known))))
-        before = np.array([number.get((lang, p.rsplit(" ", 1)[0]), -1) for lang, p in wanted], np.int64)
-        self.cand_key = before << WORD_BITS | cand[:, -1] if len(cand) else before
         del self.free
 
     def _grow(self, size: int) -> None:
@@ -160,6 +162,13 @@ class Trie:
         self.check[slots] = parent
         return slots
 
+    def states(self, lang: str, symbol: np.ndarray, k: int) -> np.ndarray:
+        """State of the window of k - 1 words at every place where there is one."""
+        state = np.full(max(len(symbol) - k + 2, 0), self.root.get(lang, 0), np.int64)
+        for j in range(k - 1):
+            state = self.advance(state, symbol[j:j + len(state)])
+        return state
+
     def table(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
 
@@ -180,6 +189,9 @@ def windows(ids: np.ndarray, at: np.ndarray, k: int, names: list[bytes], least:
             _, code = np.unique(code, return_inverse=True)
             span = len(at) + 1
         code, span = code * width + ids[at + j], span * width
+    if least > 1:
+        some = often(code, least)
+        at, code = at[some], code[some]
     _, first, n = np.unique(code, return_index=True, return_counts=True)
     first, n = first[n >= least], n[n >= least]
     columns = [[names[w] for w in ids[at[first] + j].tolist()] for j in range(k)]
@@ -200,30 +212,39 @@ def inside(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def words_counted(texts: DataFrame) -> DataFrame:
-    """Counts of words, of all words of a language (as the empty phrase), and seeds of two words."""
+    """Counts of words, and of all words of a language (as the empty phrase)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, count = Words(), {}
+        count: dict[str, Counter] = {}
 
-        def flushed():
-            for lang, n in count.items():
-                some = np.nonzero(n)[0]
-                some = some[some > 1]
-                yield _batch(False, lang, [b"", *(words.names[i] for i in some.tolist())], np.append(n[some].sum(), n[some]))
+        def flushed(lang: str) -> pa.RecordBatch:
+            words = count.pop(lang)
+            words.pop(b"", None), words.pop(_GAP, None)
+            n = np.fromiter(words.values(), np.int64, len(words))
+            return _batch(False, lang, [b"", *words], np.append(n.sum(), n))
         for lang, tokens in stretches(batches):
-            ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-            ids = ids[ids != 0]
-            n = np.bincount(ids, minlength=len(words))
-            if lang in count:
-                n[:len(count[lang])] += count[lang]
-            count[lang] = n
-            yield _batch(True, lang, *windows(ids, np.nonzero(inside(ids, 2))[0], 2, words.names, LOCALLY))
-            if len(words) > HOLD:
-                yield from flushed()
-                words, count = Words(), {}
-        yield from flushed()
+            count.setdefault(lang, Counter()).update(tokens)
+            if len(count[lang]) > HOLD:
+                yield flushed(lang)
+        for lang in list(count):
+            yield flushed(lang)
     return texts.mapInArrow(run, ROWS)
 
 
+class Known(dict):
+    """Symbols of the words of a trie. Other words and ends of pieces are -1, no word is -2."""
+
+    def __init__(self, table: dict[bytes, int]):
+        super().__init__(table)
+        self[b""], self[_GAP] = -2, -1
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+    def read(self, tokens: list[bytes]) -> np.ndarray:
+        symbol = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return symbol[symbol > -2]
+
+
 class Reader:
     """Word numbers and trie symbols of a task's stretches."""
 
@@ -240,59 +261,126 @@ class Reader:
             self.symbols = np.append(self.symbols, [self.table.get(w, -1) for w in self.words.names[len(self.symbols):]]).astype(np.int64)
         return ids, self.symbols[ids]
 
-    def states(self, lang: str, symbol: np.ndarray, k: int) -> np.ndarray:
-        """State of the window of k - 1 words at every place where there is one."""
-        state = np.full(max(len(symbol) - k + 2, 0), self.trie.root.get(lang, 0), np.int64)
-        for j in range(k - 1):
-            state = self.trie.advance(state, symbol[j:j + len(state)])
-        return state
 
+def often(code: np.ndarray, least: int) -> np.ndarray:
+    """Whether each code stands there ``least`` times."""
+    s = np.sort(code)
+    many = np.unique(s[least - 1:][s[least - 1:] == s[:max(len(s) - least + 1, 0)]])
+    if not len(many):
+        return np.zeros(len(code), bool)
+    return many[np.minimum(np.searchsorted(many, code), len(many) - 1)] == code
+
+
+class Index:
+    """Numbers of the frequent words of every language, and sorted codes of the frequent phrases of two words and more."""
+
+    def __init__(self, words: list[tuple[str, str]], longer: tuple[np.ndarray, ...] = ()):
+        self.words, self.longer, self.width = words, longer, max(len(words), 1)
+        self.known: dict[str, Known] = {}
+
+    def read(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+        if not self.known:
+            tables: dict[str, dict[bytes, int]] = {lang: {}}
+            for i, (l, w) in enumerate(self.words):
+                tables.setdefault(l, {})[w.encode()] = i
+            self.known = {l: Known(t) for l, t in tables.items()}
+        return self.known.setdefault(lang, Known({})).read(tokens)
+
+    def states(self, symbol: np.ndarray) -> np.ndarray:
+        """Number of the longest frequent phrase known that begins at each place; -1 is none."""
+        state = symbol
+        for j, codes in enumerate(self.longer, 1):
+            first, word = state[:-1], symbol[j:]
+            at = np.nonzero((first >= 0) & (word >= 0))[0]
+            state = np.full(len(first), -1, np.int64)
+            if len(codes):
+                code = first[at] * self.width + word[at]
+                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                state[at] = np.where(codes[place] == code, place, -1)
+        return state
 
-def level_keyed(texts: DataFrame, trie, k: int, last: bool) -> DataFrame:
-    """Numbered counts of the phrases of k words, and unless it is the last level seeds of one word more (``next``)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Trie = trie.value
-        reader, count = Reader(t), np.zeros(len(t.cand), np.int64)
-
-        def rows(key, following, n):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(following, pa.int32()), pa.array(n, pa.int64())], names=["key", "next", "n"])
+    def spelled(self, code: np.ndarray) -> tuple[list[str], list[str]]:
+        """Languages and phrases."""
+        numbers, place = [code % self.width], code // self.width
+        for codes in reversed(self.longer):
+            numbers.append(codes[place] % self.width)
+            place = codes[place] // self.width
+        rows = np.stack([place, *reversed(numbers)], 1).tolist()
+        return [self.words[r[0]][0] for r in rows], [" ".join([self.words[i][1] for i in r]) for r in rows]
+
+
+class Mix:
+    """Deals codes over ``parts`` equal ranges of a bijective mix."""
+
+    def __init__(self, index: Index, parts: int):
+        size = (len(index.longer[-1]) if index.longer else len(index.words)) * index.width
+        self.bits, self.parts = max(16, size.bit_length()), parts
+        self.mask, self.bytes = np.uint64((1 << self.bits) - 1), -(-self.bits // 8)
+        self.back = np.uint64(pow(_MIX, -1, 1 << self.bits))
+        self.edges = np.array([(p << self.bits) // parts for p in range(1, parts)], np.uint64)
+
+    def dealt(self, codes: list[np.ndarray]) -> pa.RecordBatch:
+        """One block for each part that gets codes."""
+        mixed = np.sort(np.concatenate(codes).astype(np.uint64) * np.uint64(_MIX) & self.mask)
+        cut = np.concatenate([[0], np.searchsorted(mixed, self.edges), [len(mixed)]])
+        full = np.nonzero(np.diff(cut))[0]
+        packed = np.ascontiguousarray(mixed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :self.bytes])
+        ends = np.append(0, cut[full + 1] * self.bytes).astype(np.int32)
+        blocks = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blocks], names=["part", "block"])
+
+    def counted(self, blocks: list[bytes], least: int) -> pa.RecordBatch:
+        """Codes that all blocks of a part hold ``least`` times."""
+        raw = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, self.bytes)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :self.bytes] = raw
+        mixed = np.sort(wide.view("<u8").ravel())
+        first = np.nonzero(np.append(True, mixed[1:] != mixed[:-1]))[0]
+        n = np.diff(np.append(first, len(mixed)))
+        code = (mixed[first[n >= least]] * self.back & self.mask).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n[n >= least], pa.int64())], names=["code", "n"])
+
+
+def level_keyed(texts: DataFrame, index, k: int, least: int, parts: int) -> DataFrame:
+    """Codes and counts of the phrases of k words found ``least`` times."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Index = index.value
+        mix, held, size = Mix(known, parts), [], 0
         for lang, tokens in stretches(batches):
-            _, symbol = reader.read(tokens)
-            state = reader.states(lang, symbol, k)
-            at = np.nonzero((state[:-1] > 0) & (state[1:] > 0))[0]
-            if not len(at):
-                continue
-            end = symbol[at + k - 1]
-            accepted = t.accept[t.advance(state[at], end)]
-            hit = accepted >= 0
-            count += np.bincount(accepted[hit], minlength=len(count))
-            key = t.place[state[at]].astype(np.int64) << WORD_BITS | end
-            own, which, n = np.unique(key, return_inverse=True, return_counts=True)
-            tail = np.ones(len(own), bool)
-            tail[which[hit]] = False
-            yield rows(own[tail], np.full(int(tail.sum()), -1, np.int32), n[tail])
-            if not last:
-                often = np.nonzero((n[which[:-1]] >= LOCALLY) & (at[1:] == at[:-1] + 1))[0]
-                code = which[often].astype(np.int64) << WORD_BITS | end[often + 1]
-                code, times = np.unique(code, return_counts=True)
-                code, times = code[times >= LOCALLY], times[times >= LOCALLY]
-                yield rows(own[code >> WORD_BITS], (code & ((1 << WORD_BITS) - 1)).astype(np.int32), times)
-        some = np.nonzero(count)[0]
-        yield rows(t.cand_key[some], np.full(len(some), -1, np.int32), count[some])
-    return texts.mapInArrow(run, NUMBERS)
-
-
-def spelled(numbered: DataFrame, trie) -> DataFrame:
-    """Numbered rows in words."""
+            symbol = known.read(lang, tokens)
+            state = known.states(symbol)
+            at = np.nonzero((state[:-1] >= 0) & (state[1:] >= 0))[0]
+            held.append(state[at] * known.width + symbol[at + k - 1])
+            size += len(at)
+            if size > HELD:
+                yield mix.dealt(held)
+                held, size = [], 0
+        if size:
+            yield mix.dealt(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mix, now, held = Mix(index.value, parts), -1, []
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != now and held:
+                    yield mix.counted(held, least)
+                    held = []
+                now = part
+                held.append(block.as_py())
+        if held:
+            yield mix.counted(held, least)
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(deal, "part int, block binary").repartition(partitions, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(count, "code long, n long")
+
+
+def spelled(numbered: DataFrame, index) -> DataFrame:
+    """Codes in words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Trie = trie.value
         for batch in batches:
-            key, following = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            place, word = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
-            phrases = [b" ".join([t.words[w] for w in [*row, end, *([nxt] if nxt >= 0 else [])]])
-                       for row, end, nxt in zip(t.known[place].tolist(), word.tolist(), following.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(following >= 0), pa.array([t.known_lang[p] for p in place.tolist()], pa.string()),
-                                              pa.array(phrases, pa.string()), batch.column(2)], names=["seed", "lang", "phrase", "n"])
+            langs, phrases = index.value.spelled(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(langs), pa.bool_()), pa.array(langs, pa.string()), pa.array(phrases, pa.string()), batch.column(1)],
+                                             names=["seed", "lang", "phrase", "n"])
     return numbered.mapInArrow(run, ROWS)
 
 
@@ -303,7 +391,7 @@ def level_worded(texts: DataFrame, trie, k: int, last: bool) -> DataFrame:
         reader, count = Reader(t), np.zeros(len(t.cand), np.int64)
         for lang, tokens in stretches(batches):
             ids, symbol = reader.read(tokens)
-            state = reader.states(lang, symbol, k)
+            state = t.states(lang, symbol, k)
             if len(state) < 2:
                 continue
             safe = inside(ids, k)
@@ -332,26 +420,32 @@ def _top(rows: DataFrame, most: int) -> list[tuple[str, str]]:
     return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
-def counted(docs: DataFrame, least: int = 30, longest: int = 4, most: int = 300_000) -> DataFrame:
+def counted(docs: DataFrame, least: int = 30, longest: int = 4, most: int = 20_000_000) -> DataFrame:
     """(lang, phrase, size, n): all phrases of up to ``longest`` words found ``least`` times; size 0 holds all words of a language."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
     level = _summed(words_counted(texts), least)
+    parts = 1 + (level.where("phrase = ''").agg(F.sum("n")).first()[0] or 0) // PART
     out = level.where("NOT seed").select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(1).alias("size"), "n")
+    share, numbered, index = docs.sparkSession.sparkContext.broadcast, level, None
     for k in range(2, longest + 1):
         known = level.where("NOT seed AND phrase <> ''")
-        held = _top(known, most + 1)
-        complete = len(held) <= most
-        held = held[:most]
-        frequent = set(held)
-        seeds = [(lang, p) for lang, p in _top(level.where("seed"), most)
-                 if (lang, p.rsplit(" ", 1)[0]) in frequent and (lang, p.split(" ", 1)[1]) in frequent]
-        trie = docs.sparkSession.sparkContext.broadcast(Trie(held, seeds, k))
-        if complete:
-            sums = level_keyed(texts, trie, k, k == longest).groupBy("key", "next").agg(F.sum("n").alias("n"))
-            level = stored(spelled(sums.where((F.col("next") >= 0) | (F.col("n") >= least)), trie))
+        if numbered is not None and (known if k == 2 else numbered).count() <= most:
+            if k == 2:
+                got = known.select("lang", "phrase").toArrow()
+                index = Index(list(zip(got.column(0).to_pylist(), got.column(1).to_pylist())))
+            else:
+                index = Index(index.words, (*index.longer, np.sort(numbered.select("code").toArrow().column(0).to_numpy())))
+            held = share(index)
+            numbered = stored(level_keyed(texts, held, k, least, parts))
+            level = stored(spelled(numbered, held))
         else:
-            level = _summed(level_worded(texts, trie, k, k == longest), least)
-        trie.unpersist()
+            top, numbered = _top(known, min(most, TRIE)), None
+            frequent = set(top)
+            seeds = [(lang, p) for lang, p in _top(level.where("seed"), min(most, TRIE))
+                     if (lang, p.rsplit(" ", 1)[0]) in frequent and (lang, p.split(" ", 1)[1]) in frequent]
+            held = share(Trie(top, seeds, k))
+            level = _summed(level_worded(texts, held, k, k == longest), least)
+        held.unpersist()
         release(docs.sparkSession)
         out = out.union(level.where("NOT seed").select("lang", "phrase", F.lit(k).alias("size"), "n"))
     return out
@@ -387,7 +481,7 @@ def scored(counts: DataFrame, longest: int = 4, scale: int = 2_000_000, share: i
             .select("lang", "phrase", "a", "_best.l", "_best.r", "_best.score"))
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int = 4, scale: int = 2_000_000, share: int = 80, most: int = 300_000) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int = 4, scale: int = 2_000_000, share: int = 80, most: int = 20_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of every language."""
     if not 2 <= longest <= 6:
         raise ValueError("longest is between 2 and 6 words")
